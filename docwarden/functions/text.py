@@ -12,7 +12,7 @@ from docwarden import vocab
 ASCII_ONLY = r"^[\x00-\x7F]*$"
 # White space as Unicode text matching sees it: Java's \s plus the wider set and the separators
 # 0x1C to 0x1F.
-SPACE = r"\s\x0B\x1C-\x1F\x85   -     　"
+SPACE = r"\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # No letter, digit or underscore just before this position.
 WORD_START = r"(?<![\p{L}\p{N}_])"
 
@@ -42,7 +42,9 @@ def _fold_tables(kind: str) -> tuple[str, str, dict[str, str]]:
 
 def _fold(text: Column, kind: str) -> Column:
     singles, targets, longer = _fold_tables(kind)
-    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    # One literal that constant folding turns into a map.
+    listed = "\x1e".join(f"{char}\x1f{folded}" for char, folded in longer.items())
+    table = F.str_to_map(F.lit(listed), F.lit("\x1e"), F.lit("\x1f"))
     short = F.translate(text, singles, targets)
     spread = F.array_join(
         F.transform(F.split(short, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""

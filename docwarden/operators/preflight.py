@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docwarden.functions import rewrite, secrets
+from docwarden.functions.fence import fence
 from docwarden.functions.paths import classify_path, is_env_template
 
 FINDINGS = "array<struct<line:int,rule:string,disposition:string>>"
@@ -232,7 +233,7 @@ def preflight(
             F.col("decision") == "safe", text
         ),
     )
-    return df.select(*[F.col(c) for c in documents.columns], "decision", "exported_text", "findings")
+    return fence(df, documents.columns, ["decision", "exported_text", "findings"])
 
 
 def _marked_lines(parts: Column, marked: Column) -> Column:
