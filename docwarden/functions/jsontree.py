@@ -12,6 +12,7 @@ from docwarden.functions.secrets import has_credential_value, is_sensitive_key,
 from docwarden.functions.text import squeezed_key
 
 DEPTH = 6
+NESTED_DEPTH = 2
 
 
 def _type(value: Column) -> Column:
@@ -34,8 +35,17 @@ def _pairs(value: Column) -> Column:
     return F.map_entries(value.try_cast("map<string,variant>"))
 
 
-def _items(value: Column) -> Column:
-    return value.try_cast("array<variant>")
+def _children(value: Column, cap: int | None = None) -> Column:
+    """Members of an object or elements of an array as (key, value), so that one recursive step
+    serves both; null for leaves. Unrolling stays linear in the depth."""
+    items = value.try_cast("array<variant>")
+    if cap is not None:
+        items = F.slice(items, 1, cap)
+    elements = F.transform(
+        items,
+        lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")),
+    )
+    return F.when(_is_object(value), _pairs(value)).when(_is_array(value), elements)
 
 
 def _parsed(json: Column) -> Column:
@@ -46,18 +56,11 @@ def _secret(value: Column, family: str, depth: int) -> Column:
     leaf = F.when(_is_string(value), has_credential_value(value.try_cast("string"), family))
     if depth == 0:
         return leaf.otherwise(False)
-    return (
-        leaf.when(
-            _is_object(value),
-            F.exists(
-                _pairs(value),
-                lambda e: is_sensitive_key(e["key"], family)
-                | _secret(e["value"], family, depth - 1),
-            ),
-        )
-        .when(_is_array(value), F.exists(_items(value), lambda x: _secret(x, family, depth - 1)))
-        .otherwise(False)
+    below = F.exists(
+        _children(value),
+        lambda e: is_sensitive_key(e["key"], family) | _secret(e["value"], family, depth - 1),
     )
+    return leaf.otherwise(F.coalesce(below, F.lit(False)))
 
 
 def has_secrets(json: Column, family: str = "audit", depth: int = DEPTH) -> Column:
@@ -66,13 +69,10 @@ def has_secrets(json: Column, family: str = "audit", depth: int = DEPTH) -> Colu
 
 
 def _deep(value: Column, depth: int) -> Column:
-    nested = _is_object(value) | _is_array(value)
     if depth == 0:
-        return nested
-    return (
-        F.when(_is_object(value), F.exists(_pairs(value), lambda e: _deep(e["value"], depth - 1)))
-        .when(_is_array(value), F.exists(_items(value), lambda x: _deep(x, depth - 1)))
-        .otherwise(False)
+        return _is_object(value) | _is_array(value)
+    return F.coalesce(
+        F.exists(_children(value), lambda e: _deep(e["value"], depth - 1)), F.lit(False)
     )
 
 
@@ -80,23 +80,32 @@ def is_too_deep(json: Column, depth: int = DEPTH) -> Column:
     return F.coalesce(_deep(_parsed(json), depth), F.lit(False))
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once for several uses in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _quoted(text: Column) -> Column:
     """A JSON string literal."""
-    listed = F.to_json(F.array(text))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+    return _let(F.to_json(F.array(text)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
 
 
 def sanitize_text(text: Column, *, nested: bool = True, keep_listings: bool = False) -> Column:
     """Mask credentials and cut to the text cap; JSON inside the text is sanitised as JSON."""
-    plain = F.substring(mask_credentials(text), 1, vocab.TEXT_CAP)
+
+    def plain(value: Column) -> Column:
+        return F.substring(mask_credentials(value), 1, vocab.TEXT_CAP)
+
+    def from_json(value: Column) -> Column:
+        return F.when(_is_object(value) | _is_array(value), F.substring(
+            _sanitized(value, NESTED_DEPTH, False, keep_listings), 1, vocab.TEXT_CAP
+        ))
+
     if not nested:
-        return plain
-    inner = _parsed(F.trim(text))
-    is_json = F.trim(text).rlike(r"^[{\[]") & (_is_object(inner) | _is_array(inner))
-    cleaned = _sanitized(inner, 3, False, keep_listings)
-    return F.when(
-        F.coalesce(is_json, F.lit(False)), F.substring(cleaned, 1, vocab.TEXT_CAP)
-    ).otherwise(plain)
+        return _let(text, plain)
+    trimmed = F.trim(text)
+    inner = F.when(trimmed.rlike(r"^[{\[]"), _let(_parsed(trimmed), from_json))
+    return F.coalesce(inner, _let(text, plain))
 
 
 def _sanitized(value: Column, depth: int, nested: bool, keep_listings: bool) -> Column:
@@ -112,49 +121,38 @@ def _sanitized(value: Column, depth: int, nested: bool, keep_listings: bool) ->
             F.to_json(value)
         )
 
-    def member(entry: Column) -> Column:
+    def named(entry: Column) -> Column:
         key = sanitize_text(entry["key"], nested=False)
-        masked = squeezed_key(key).isin(*vocab.SECRET_KEYS)
+        return F.struct(key.alias("key"), entry["value"].alias("value"))
+
+    def member(entry: Column) -> Column:
+        masked = F.coalesce(squeezed_key(entry["key"]).isin(*vocab.SECRET_KEYS), F.lit(False))
         body = F.when(masked, F.lit(f'"{vocab.MASKED}"')).otherwise(
             _sanitized(entry["value"], depth - 1, nested, keep_listings)
         )
-        return F.concat(_quoted(key), F.lit(":"), body)
+        label = F.when(entry["key"].isNull(), "").otherwise(
+            F.concat(_quoted(entry["key"]), F.lit(":"))
+        )
+        return F.concat(label, body)
 
-    members = F.filter(
-        _pairs(value),
-        lambda e: ~squeezed_key(sanitize_text(e["key"], nested=False)).isin(*dropped),
+    kept = F.filter(
+        F.transform(_children(value, vocab.LIST_CAP), named),
+        lambda e: e["key"].isNull() | ~squeezed_key(e["key"]).isin(*dropped),
     )
-    return (
-        text.when(
-            _is_object(value),
-            F.concat(F.lit("{"), F.array_join(F.transform(members, member), ","), F.lit("}")),
-        )
-        .when(
-            _is_array(value),
-            F.concat(
-                F.lit("["),
-                F.array_join(
-                    F.transform(
-                        F.slice(_items(value), 1, vocab.LIST_CAP),
-                        lambda x: _sanitized(x, depth - 1, nested, keep_listings),
-                    ),
-                    ",",
-                ),
-                F.lit("]"),
-            ),
-        )
-        .otherwise(F.to_json(value))
+    members = F.array_join(F.transform(kept, member), ",")
+    is_object = _is_object(value)
+    wrapped = F.concat(
+        F.when(is_object, "{").otherwise("["), members, F.when(is_object, "}").otherwise("]")
     )
+    return text.otherwise(F.coalesce(wrapped, F.to_json(value)))
 
 
 def sanitize_json(json: Column, *, keep_listings: bool = False, depth: int = DEPTH) -> Column:
     """Bounded diagnostic form of JSON: body keys removed, secret keys masked, credential values
     masked, lists and texts capped. ``keep_listings`` keeps ``items`` and ``data``, as for a
     successful response. Text that is not JSON is treated as plain text."""
-    parsed = _parsed(json)
-    return F.when(parsed.isNull(), sanitize_text(json, nested=False)).otherwise(
-        _sanitized(parsed, depth, True, keep_listings)
-    )
+    tree = _let(_parsed(json), lambda v: _sanitized(v, depth, True, keep_listings))
+    return F.coalesce(tree, sanitize_text(json, nested=False))
 
 
 def sanitize_map(values: Column, *, keep_listings: bool = False) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from docwarden import vocab
-from docwarden.functions.text import casefold
+from docwarden.functions.text import fold_letters
 
 
 def _any(values: tuple[str, ...]) -> str:
@@ -40,8 +40,8 @@ def classify_path(path: Column) -> Column:
     code: ``parts`` holds the case-folded parts, ``words`` the same with each part's words
     separated by one blank. Word fragments are looked for inside single words."""
     plain = posix(F.regexp_replace(path, r"^[/\\]+", ""))
-    parts = casefold(plain)
-    spaced = casefold(F.regexp_replace(plain, "([a-z0-9])([A-Z])", "$1 $2"))
+    parts = fold_letters(plain)
+    spaced = fold_letters(F.regexp_replace(plain, "([a-z0-9])([A-Z])", "$1 $2"))
     words = F.regexp_replace(spaced, "[^a-z0-9/]+", " ")
 
     domain, strong = _any(vocab.DOMAIN_FRAGMENTS), _any(vocab.STRONG_FRAGMENTS)
@@ -72,7 +72,7 @@ def classify_path(path: Column) -> Column:
 
 
 def is_env_template(path: Column) -> Column:
-    name = casefold(F.substring_index(posix(path), "/", -1))
+    name = fold_letters(F.substring_index(posix(path), "/", -1))
     return name.isin(*vocab.ENV_TEMPLATE_NAMES)
 
 
@@ -125,7 +125,7 @@ def path_in_prefixes(
         return hit
 
     text = posix(path)
-    declared = casefold(node_type).isin(*[t.casefold() for t in url_types or [""]])
+    declared = fold_letters(node_type).isin(*[t.casefold() for t in url_types or [""]])
     is_url = declared & path.startswith("/")
     unsafe = path.rlike(r"^[/\\]|^[A-Za-z]:") | text.rlike(r"(?:^|/)\.\.(?:/|$)")
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from docwarden import vocab
 from docwarden.functions import rewrite
-from docwarden.functions.text import SPACE, WORD_START, casefold, key_phrase, squeezed_key
+from docwarden.functions.text import SPACE, WORD_START, fold_letters, key_phrase, squeezed_key
 
 
 def _words(values: tuple[str, ...]) -> str:
@@ -108,7 +108,7 @@ def _registry_key(key: Column) -> Column:
 
 
 def _audit_key(key: Column) -> Column:
-    squeezed = F.regexp_replace(casefold(key), "[_\\-." + SPACE + "]+", "")
+    squeezed = F.regexp_replace(fold_letters(key), "[_\\-." + SPACE + "]+", "")
     return squeezed.isin(
         *vocab.SECRET_KEYS, *vocab.BODY_KEYS, *vocab.LISTING_KEYS
     ) | squeezed.contains("privatekey")
@@ -127,7 +127,7 @@ def is_sensitive_key(key: Column, family: str = "preflight") -> Column:
 
 def is_hash_key(key: Column) -> Column:
     last = F.element_at(
-        F.filter(F.split(casefold(key), "[_.-]+"), lambda part: part != ""), -1
+        F.filter(F.split(fold_letters(key), "[_.-]+"), lambda part: part != ""), -1
     )
     return F.coalesce(last.isin(*vocab.HASH_KEY_LAST_WORDS), F.lit(False))
 

@@ -24,10 +24,12 @@ def _fold_tables(kind: str) -> tuple[str, str, dict[str, str]]:
     singles, targets, longer = [], [], {}
     for code in range(0x80, 0x10000):
         char = chr(code)
-        if kind == "casefold":
+        if kind in ("casefold", "letters"):
             folded = char.casefold()
             if char.lower() != char or folded == char:
                 continue
+            if kind == "letters" and not any(c.isascii() for c in folded):
+                continue
         else:
             folded = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
             if not folded:
@@ -58,6 +60,13 @@ def casefold(text: Column) -> Column:
     return F.when(low.rlike(ASCII_ONLY), low).otherwise(_fold(low, "casefold"))
 
 
+def fold_letters(text: Column) -> Column:
+    """Case folding as far as it yields ASCII letters; enough where other characters are dropped
+    or never compared."""
+    low = F.lower(text)
+    return F.when(low.rlike(ASCII_ONLY), low).otherwise(_fold(low, "letters"))
+
+
 def _squeeze(text: Column) -> Column:
     dashed = F.regexp_replace(text, "[^a-z0-9]+", "-")
     return F.nullif(F.regexp_replace(dashed, "^-|-$", ""), F.lit(""))
@@ -65,7 +74,7 @@ def _squeeze(text: Column) -> Column:
 
 def slug(text: Column) -> Column:
     """Case-folded words joined by dashes; null when nothing is left."""
-    return _squeeze(casefold(text))
+    return _squeeze(fold_letters(text))
 
 
 def ascii_slug(text: Column) -> Column:
@@ -95,7 +104,7 @@ def key_phrase(key: Column) -> Column:
 
 def squeezed_key(key: Column) -> Column:
     """A key without separators and case: ``Private-Key`` becomes ``privatekey``."""
-    return F.regexp_replace(casefold(key), "[^a-z0-9]+", "")
+    return F.regexp_replace(fold_letters(key), "[^a-z0-9]+", "")
 
 
 def newlines(text: Column) -> Column:

@@ -13,8 +13,9 @@ OFFSET_ISO = (
 
 def is_offset_iso(text: Column) -> Column:
     """ISO-8601 with an offset, and a date and time that exist."""
+    seconds = F.regexp_replace(text, r"^(.{10}[T ]\d{2}:\d{2})(?=[Z+-])", "$1:00")
     return F.coalesce(
-        text.rlike(OFFSET_ISO) & text.try_cast("timestamp").isNotNull(), F.lit(False)
+        text.rlike(OFFSET_ISO) & seconds.try_cast("timestamp").isNotNull(), F.lit(False)
     )
 
 
