@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docwarden import vocab
 from docwarden.operators import audit
@@ -46,7 +47,7 @@ def stream_outcomes(
     )
 
 
-def bucket_of(key: str, buckets: int):
+def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
@@ -68,29 +69,26 @@ def upsert_batch(
     incoming = batch.withColumn("bucket", bucket_of(key, buckets))
     current = read_upserted(spark, path, before=version)
     if current is not None:
+        # At most one row per bucket, hence the broadcast.
         touched = incoming.select("bucket").distinct()
         incoming = incoming.unionByName(
             current.join(F.broadcast(touched), "bucket", "left_semi").select(*incoming.columns)
         )
     newest = latest_per_id(incoming, key=key, order=order).dropDuplicates([key])
-    (
-        newest.withColumn("version", F.lit(version))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("version", "bucket")
-        .parquet(path)
-    )
+    newest.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={version}")
 
 
-def read_upserted(spark, path: str, *, before: int | None = None) -> DataFrame | None:
+def read_upserted(
+    spark: SparkSession, path: str, *, before: int | None = None
+) -> DataFrame | None:
     """The newest version of every bucket; None while the table does not exist."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException:
         return None
-    rows = spark.read.parquet(path)
     if before is not None:
         rows = rows.filter(F.col("version") < before)
-    # One row per bucket and version: bounded by their numbers, and read from partition values.
+    # One row per bucket and version, read from partition values.
     newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
     return rows.join(newest, ["bucket", "version"], "left_semi").drop("version")
 
