@@ -15,7 +15,9 @@ def _words(values: tuple[str, ...]) -> str:
 
 # --- fixed values: patterns of the preflight family ----------------------------------------
 _S = "[" + SPACE + "]"
-_VALUE_CHARS = "[A-Za-z0-9._~+/=-]"
+# The letters a case-insensitive A-Z matches in Unicode text; listed, because the flag is slow.
+_ALPHA = r"A-Za-z\x{0130}\x{0131}\x{017F}\x{212A}"
+_VALUE_CHARS = "[" + _ALPHA + "0-9._~+/=-]"
 _DOUBLE_QUOTED = r'"[^"\\\n]*+(?:\\[^\n][^"\\\n]*+)*+"'
 _SINGLE_QUOTED = r"'[^'\\\n]*+(?:\\[^\n][^'\\\n]*+)*+'"
 _PLACEHOLDER_BODY = (
@@ -28,19 +30,19 @@ PLACEHOLDER_ANY_CASE = r"(?iu)" + PLACEHOLDER
 KEY_BLOCK_HEADER = (
     r"(?iu)-----BEGIN(?: [A-Z0-9]++)++(?<= PRIVATE KEY| CERTIFICATE)-----"
 )
-_KEY = r"[A-Za-z][A-Za-z0-9_.-]*+"
+_KEY = "[" + _ALPHA + "][" + _ALPHA + "0-9_.-]*+"
 _BARE_VALUE = "[^" + SPACE + r",`}\]#]++"
 ASSIGNMENT = (
-    r"(?iu)(?<quote>[\"']?)" + WORD_START + _KEY + r"\k<quote>" + _S + "*+[:=]" + _S + "*+(?:"
+    r"(?<quote>[\"']?)" + WORD_START + _KEY + r"\k<quote>" + _S + "*+[:=]" + _S + "*+(?:"
     + _DOUBLE_QUOTED + "|" + _SINGLE_QUOTED
-    + "|Bearer" + _S + r"++(?:\[REDACTED\]|" + _VALUE_CHARS + "++)"
+    + "|(?i:Bearer)" + _S + r"++(?:(?i:\[REDACTED\])|" + _VALUE_CHARS + "++)"
     + "|<[^>" + SPACE + "]++>"
     + r"|\$\{[^}" + SPACE + r"]++\}"
-    + r"|\[REDACTED\]|" + _BARE_VALUE + ")"
+    + r"|(?i:\[REDACTED\])|" + _BARE_VALUE + ")"
 )
 # A match of ASSIGNMENT taken apart: 1 head (quotes, key, separator), 2 key, 3 value.
 ASSIGNMENT_PARTS = (
-    r"(?iu)^([\"']?(" + _KEY + r")[\"']?" + _S + "*+[:=]" + _S + r"*+)([\s\S]*)\z"
+    r"^([\"']?(" + _KEY + r")[\"']?" + _S + "*+[:=]" + _S + r"*+)([\s\S]*)\z"
 )
 AUTHORIZATION_BEARER = (
     "(?iu)(" + WORD_START + "authorization" + _S + "*:" + _S + "*bearer" + _S + "+)"
@@ -50,18 +52,29 @@ BARE_BEARER = (
     "(?iu)(" + WORD_START + "bearer" + _S + "+)"
     "(?!" + _PLACEHOLDER_WORD + "(?!" + _VALUE_CHARS + "))" + _VALUE_CHARS + "{16,}"
 )
-OPAQUE_ASSIGNMENT = "(?md)^" + _S + "*(" + _KEY + ")" + _S + "*[:=]" + _S + "*([^" + SPACE + "#]++)"
+OPAQUE_ASSIGNMENT = "(?md)^" + _S + "*([A-Za-z][A-Za-z0-9_.-]*+)" + _S + "*[:=]" + _S + "*([^" + SPACE + "#]++)"
 
 # Cheap tests that a text can hold a match worth the array work.
-ASSIGNMENT_TRIGGER = (
-    r"(?iu)(?:pass(?:word|phrase)|secret|credential|authorization"
-    r"|(?:api|access|refresh|bearer|private)[^A-Za-z0-9:=" + SPACE + r"]*(?:key|token))"
-    r"[A-Za-z0-9_.-]*[\"']?" + _S + "*[:=]"
+ASSIGNMENT_TRIGGER = (  # over lower-case text
+    r"(?:pass(?:word|phrase)|secret|credential|authorization"
+    r"|(?:api|access|refresh|bearer|private)[^a-z0-9:=" + SPACE + r"]*(?:key|token))"
+    r"[a-z0-9_.\x{0131}\x{017F}\x{0307}-]*[\"']?" + _S + "*[:=]"
 )
-BEARER_TRIGGER = "(?i)bearer" + _S
+BEARER_TRIGGER = "bearer" + _S
 OPAQUE_TRIGGER = "[:=]" + _S + "*[A-Za-z0-9_+/-]{32}"
 
 
+def may_assign(low: Column) -> Column:
+    """Whether lower-case text holds the words of a sensitive key at all."""
+    words = F.lit(False)
+    for word in vocab.PREFLIGHT_KEY_WORDS:
+        words |= low.contains(word)
+    for pair in vocab.KEY_PAIRS:
+        first, second = pair.split(" ")
+        words |= low.contains(first) & low.contains(second)
+    return words
+
+
 def is_placeholder(value: Column, *, any_case: bool = False) -> Column:
     return value.rlike(PLACEHOLDER_ANY_CASE if any_case else PLACEHOLDER)
 

@@ -73,10 +73,12 @@ def preflight(
     df = df.withColumn("_byte_rule", F.when(rule.isNull(), byte_rule))
     if binary:
         readable = F.col("_byte_rule").isNull()
-    # Text only where the content rules are reached; null switches every later step off.
+    # Text only where the content rules are reached; null switches every later step off. The
+    # lower-case copy serves plain substring tests, far cheaper than a regular expression.
     df = df.withColumn("_text", F.when(rule.isNull() & readable, raw.cast("string")))
+    df = df.withColumn("_low", F.lower("_text"))
 
-    text = F.col("_text")
+    text, low = F.col("_text"), F.col("_low")
     held = F.col("_allowed")
     opaque_lines = F.when(
         text.rlike(secrets.OPAQUE_TRIGGER),
@@ -85,12 +87,16 @@ def preflight(
     df = df.withColumns(
         {
             "_pem_line": F.when(
-                text.rlike(secrets.KEY_BLOCK_HEADER),
+                low.contains("-----begin") & text.rlike(secrets.KEY_BLOCK_HEADER),
                 rewrite.first_line(text, secrets.KEY_BLOCK_HEADER),
             ),
             "_opaque_lines": opaque_lines,
-            "_bearer": F.coalesce(text.rlike(secrets.BEARER_TRIGGER), F.lit(False)),
-            "_assigns": F.coalesce(text.rlike(secrets.ASSIGNMENT_TRIGGER), F.lit(False)),
+            "_bearer": F.coalesce(
+                low.contains("bearer") & low.rlike(secrets.BEARER_TRIGGER), F.lit(False)
+            ),
+            "_assigns": F.coalesce(
+                secrets.may_assign(low) & low.rlike(secrets.ASSIGNMENT_TRIGGER), F.lit(False)
+            ),
         }
     )
     blocked_text = F.col("_pem_line").isNotNull() | (

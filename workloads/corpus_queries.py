@@ -301,8 +301,8 @@ def attribution_check(spark, d):
     leaf AS (SELECT substr(digest, 1, 4) AS b, digest || ':' || count(*) AS t FROM rows GROUP BY digest),
     l2 AS (SELECT b, sha256(string_agg(t, chr(10) ORDER BY t)) AS h FROM leaf GROUP BY b),
     l1 AS (SELECT substr(b, 1, 2) AS b, sha256(string_agg(b || ':' || h, chr(10) ORDER BY b)) AS h FROM l2 GROUP BY 1),
-    l0 AS (SELECT '' AS b, sha256(string_agg(b || ':' || h, chr(10) ORDER BY b)) AS h FROM l1)
-    SELECT sha256(b || ':' || h) AS digest FROM l0""",
+    l0 AS (SELECT sha256(string_agg(b || ':' || h, chr(10) ORDER BY b)) AS digest FROM l1)
+    SELECT digest FROM l0""",
 )
 def snapshot_digest(spark, d):
     rows = compared(spark, d).filter("document_id IS NOT NULL")

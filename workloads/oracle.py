@@ -136,7 +136,7 @@ deleted AS (
 BOTH = f"WITH {scan('prev')}, {scan('cur')}, {DELTA}"
 CUR = f"WITH {scan('cur')}"
 
-TAGS = "'knowledge:concept,kind:source,project:acme,scope:wiki,topic:reports,trust:verified,user:alice'"
+TAGS = "'kind:source,knowledge:concept,project:acme,scope:wiki,topic:reports,trust:verified,user:alice'"
 
 
 def _events(side: str) -> str:
