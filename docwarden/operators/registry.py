@@ -198,7 +198,7 @@ def registry_upsert(
         if name == "updated_by":
             return F.when(exists, F.coalesce(F.lit(nickname).cast("string"), old_value))
         if name == "credential_policy":
-            return F.coalesce(F.col(name), F.lit("exclude"))
+            return F.coalesce(F.col(name), F.lit("exclude")) if name in asked else F.lit("exclude")
         return F.coalesce(F.col(name), old_value) if name in asked else old_value
 
     changed = accepted.select(

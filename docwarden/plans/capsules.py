@@ -22,6 +22,8 @@ def graph_capsules(
     if audit_status != "passed":
         raise ValueError("the graph audit has not passed")
     edges = edges.select(*G.EDGE_COLUMNS)
+    if "path" not in nodes.columns:
+        nodes = nodes.withColumn("path", F.lit(None).cast("string"))
     tag = lambda df, key, name: df.select(
         F.col(key).alias("id"), F.lit(name).alias("violation")
     )
