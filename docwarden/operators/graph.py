@@ -12,6 +12,7 @@ from docwarden.functions.text import subject_slug
 from docwarden.operators.checks import duplicates
 from docwarden.operators.profile import active_operator, build_metadata, tag_component
 from docwarden.operators.skew import HOT_GROUP_ROWS, lookup_join, rank_within
+from docwarden.session import materialize
 
 EDGE_COLUMNS = ["source", "target", "type", "evidence", "confidence"]
 EDGE_ORDER = ["type", "source", "target", "evidence", "confidence"]
@@ -121,7 +122,11 @@ def chunk_edges(
     hot_rows: int = HOT_GROUP_ROWS,
     slabs: int | None = None,
 ) -> DataFrame:
-    """Number the edges of a subject in order and cut them into parts of ``max_edges``."""
+    """Number the edges of a subject in order and cut them into parts of ``max_edges``.
+
+    The subjects are written once, as the ranking reads them twice: for the group sizes, one
+    column, and for the ranks."""
+    subjects = materialize(subjects, "subjects")
     ranked = rank_within(
         subjects, "subject", EDGE_ORDER, rank="position", total="subject_edges",
         hot_rows=hot_rows, slabs=slabs,

@@ -32,6 +32,15 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread_input(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table that fewer tasks would read than there are cores.
+
+    A small table in one row group is one task, whatever the work per row. Inputs with at least one
+    split per core, as large ones have, are returned as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def candidate_filter(corpus: DataFrame, candidates: DataFrame) -> DataFrame:
     """Restrict a corpus to listed paths; a listed path that is absent stays as ``missing``."""
     listed = candidates.select(

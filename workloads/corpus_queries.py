@@ -8,11 +8,11 @@ from docwarden.functions import secrets
 from docwarden.functions.paths import classify_path
 from docwarden.functions.rewrite import matches
 from docwarden.operators import entries as E, export, preflight as P, validation as V
-from docwarden.operators.checks import violations
 from docwarden.operators.digests import fold_digests, row_digest
 from docwarden.plans.export_batch import export_batch
 from docwarden.plans.snapshot import Snapshot, build_snapshot
 from docwarden.operators import provenance
+from docwarden.session import materialize
 from workloads import inputs as I, oracle as O
 from workloads.registry import query
 
@@ -25,14 +25,19 @@ def entries(spark, d: str, side: str) -> DataFrame:
     return E.scan_entries(I.corpus(spark, d, side), I.PROFILE)
 
 
+def stored(spark, d: str) -> DataFrame:
+    """The earlier snapshot as a table, as a run finds it."""
+    return materialize(entries(spark, d, "prev").select(*E.ENTRY_COLUMNS), "previous")
+
+
 def compared(spark, d: str) -> DataFrame:
-    previous = entries(spark, d, "prev").select(*E.ENTRY_COLUMNS)
+    previous = stored(spark, d)
     current = entries(spark, d, "cur").select(*E.ENTRY_COLUMNS)
     return E.compare_snapshots(current, previous)
 
 
 def snapshot(spark, d: str) -> Snapshot:
-    previous = entries(spark, d, "prev").select(*E.ENTRY_COLUMNS)
+    previous = stored(spark, d)
     return build_snapshot(I.corpus(spark, d, "cur"), I.PROFILE, previous)
 
 
@@ -336,7 +341,7 @@ def events_split(spark, d):
       FROM cur_events c JOIN prev_events p ON c.relative_path = p.relative_path AND c.event_timestamp = p.event_timestamp""",
 )
 def event_identity_reuse(spark, d):
-    previous = _books(spark, d, "prev").select(*E.ENTRY_COLUMNS)
+    previous = materialize(_books(spark, d, "prev").select(*E.ENTRY_COLUMNS), "previous")
     return _books(spark, d, "cur", previous).select(
         "document_id", F.col("_identity").alias("heading_identity"), "event_timestamp"
     )
@@ -350,7 +355,7 @@ def event_identity_reuse(spark, d):
       GROUP BY 1""",
 )
 def event_deltas(spark, d):
-    previous = _books(spark, d, "prev").select(*E.ENTRY_COLUMNS)
+    previous = materialize(_books(spark, d, "prev").select(*E.ENTRY_COLUMNS), "previous")
     current = _books(spark, d, "cur", previous).select(*E.ENTRY_COLUMNS)
     return E.delta_counts(E.compare_snapshots(current, previous))
 
@@ -419,13 +424,13 @@ def retain_summary(spark, d):
 
 @query(
     "id_collisions",
-    """SELECT lower(source) || '/' || (doc_id // 20) AS folded_id, count(*) AS copies FROM documents
+    """SELECT lang || '/' || (doc_id // 2) AS folded_id, count(*) AS copies FROM documents
        GROUP BY 1 HAVING count(*) > 1""",
 )
 def id_collisions(spark, d):
     ids = I.sql(
         spark, d,
-        "SELECT CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END || '/' || (doc_id div 20)"
+        "SELECT CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END || '/' || (doc_id div 2)"
         " AS document_id FROM {documents}",
         "documents",
     )
@@ -610,14 +615,19 @@ def export_batch_approval(spark, d):
 
 @query(
     "export_batch_violations",
-    f"""{O.BOTH} SELECT document_id, 'x' AS violation FROM entries WHERE document_id = ''""",
+    f"""{O.BOTH} SELECT document_id, 'bytes_differ_from_snapshot' AS violation FROM entries WHERE exported_sha256 IS NOT NULL
+      UNION ALL SELECT document_id, 'unsafe_content' FROM entries WHERE exported_sha256 IS NOT NULL AND delta <> 'unchanged'""",
 )
 def export_batch_violations(spark, d):
-    """A consistent batch breaks no rule."""
+    """Staged texts replaced by the originals: their bytes and their content are refused."""
     snap = snapshot(spark, d)
+    docs = I.corpus(spark, d, "cur")
+    originals = snap.staged.select("export_path").join(
+        docs.select(F.col("relative_path").alias("export_path"), "content"), "export_path"
+    )
     approved = entries(spark, d, "cur").filter("document_id IS NOT NULL").select("document_id")
     return export_batch(
-        snap.entries, I.corpus(spark, d, "cur"), snap.staged, approved,
+        snap.entries, docs, originals, approved,
         project="acme", operator="alice", exported_at="2026-09-02T08:00:00+00:00", run_id="run-1",
     ).violations
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docwarden.operators.graph import GraphPolicy
 from docwarden.operators.profile import Profile
+from docwarden.sources.corpus import spread_input
 
 PROFILE = Profile(
     project_slug="acme", operator="alice", scope="wiki", topics=("topic:reports",)
@@ -111,7 +112,8 @@ def sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    return sql(spark, sf_dir, corpus_sql(side, spark_sha, "{documents}"), "documents")
+    documents = spread_input(table(spark, sf_dir, "documents"), "doc_id")
+    return spark.sql(corpus_sql(side, spark_sha, "{documents}"), documents=documents)
 
 
 def logbooks(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
