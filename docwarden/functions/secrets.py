@@ -52,7 +52,9 @@ BARE_BEARER = (
     "(?iu)(" + WORD_START + "bearer" + _S + "+)"
     "(?!" + _PLACEHOLDER_WORD + "(?!" + _VALUE_CHARS + "))" + _VALUE_CHARS + "{16,}"
 )
-OPAQUE_ASSIGNMENT = "(?md)^" + _S + "*([A-Za-z][A-Za-z0-9_.-]*+)" + _S + "*[:=]" + _S + "*([^" + SPACE + "#]++)"
+# After an empty line no match can start that would not have started before it; saying so keeps
+# long runs of empty lines linear.
+OPAQUE_ASSIGNMENT = r"(?md)^(?<!\n\n)" + _S + "*([A-Za-z][A-Za-z0-9_.-]*+)" + _S + "*[:=]" + _S + "*([^" + SPACE + "#]++)"
 
 # Cheap tests that a text can hold a match worth the array work.
 ASSIGNMENT_TRIGGER = (  # over lower-case text

@@ -9,6 +9,7 @@ from docwarden.functions.text import ascii_slug
 from docwarden.operators import audit as A, graph as G, quality as Q, registry as R, tree as T
 from docwarden.operators.validation import validate_profiles
 from docwarden.plans.capsules import graph_capsules
+from docwarden.sources.corpus import spread_input
 from docwarden.streaming import jobs as S
 from workloads import inputs as I, oracle as O
 from workloads.registry import query
@@ -457,7 +458,8 @@ DIAGNOSTICS = """SELECT event_id, to_json(named_struct('tokenBudget', event_id,
         || ',"note":"<redacted>"},"tokenBudget":' || event_id || '}' AS diagnostic FROM events""",
 )
 def metadata_sanitized(spark, d):
-    rows = I.sql(spark, d, DIAGNOSTICS, "events")
+    events = spread_input(I.table(spark, d, "events"), "event_id")
+    rows = spark.sql(DIAGNOSTICS, events=events)
     return rows.select("event_id", jsontree.sanitize_json(F.col("diagnostic")).alias("diagnostic"))
 
 
