@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docwarden import vocab
 from docwarden.functions.paths import ancestors, path_depth
 from docwarden.functions.text import ascii_slug
-from docwarden.operators.checks import violations
+from docwarden.operators.checks import failed_rules
 from docwarden.operators.skew import lookup_join
 
 REGISTRY_COLUMNS = [
@@ -136,10 +136,20 @@ def registry_upsert(
     and the first registration is kept."""
     known = [c for c in REGISTRY_COLUMNS if c in registry.columns]
     asked = [c for c in known if c in proposals.columns]
-    single = proposals.groupBy("root").agg(F.count("*").alias("_copies"))
-    new = proposals.select(*asked).alias("p").join(single, "root")
+    # One row per root; which of several proposals it is does not matter, as they are refused.
+    new = (
+        proposals.groupBy("root")
+        .agg(F.count("*").alias("_copies"), F.min(F.struct(*asked)).alias("_new"))
+        .select("root", "_copies", *[F.col(f"_new.{c}").alias(c) for c in asked if c != "root"])
+    )
     old = registry.select("root", F.struct(*known).alias("old"))
-    both = new.join(old, "root", "left")
+    both = new.join(old, "root", "full_outer").withColumns(
+        {
+            "_proposed": F.col("_copies").isNotNull(),
+            # Roots without a proposal get a key of their own instead of a common null.
+            "bank_id": F.coalesce("bank_id", F.concat(F.lit("\u0000"), "root")),
+        }
+    )
 
     # Roots per bank, and per bank and identity; one row per group whatever the size of a bank.
     totals = registry.groupBy("bank_id").agg(F.count("*").alias("_bank_roots"))
@@ -175,17 +185,21 @@ def registry_upsert(
         established = F.col(f"old.{name}")
         identity |= F.coalesce(established != "", F.lit(False)) & ~F.col(name).eqNullSafe(established)
     rules = {
-        "root_or_bank_missing": F.coalesce((F.col("root") == "") | (F.col("bank_id") == ""), F.lit(True)),
+        "root_or_bank_missing": F.coalesce(
+            (F.col("root") == "") | (F.col("bank_id") == "") | F.col("bank_id").startswith("\u0000"),
+            F.lit(True),
+        ),
         "root_repeated_in_batch": F.col("_copies") > 1,
         "bank_change": exists & (F.col("old.bank_id") != F.col("bank_id")),
         "identity_change": identity,
         "bank_taken": (others > 0) & ~(reuse & (others == same_others)),
         "new_bank_shared_in_batch": (others == 0) & ~exists & (F.col("_batch_roots") > 1),
     }
-    conflicts = violations(both, ["root"], rules)
-    accepted = both.join(conflicts.select("root").distinct(), "root", "left_anti")
+    judged = both.withColumn("_failed", failed_rules(rules))
+    conflicts = judged.filter("_proposed").select("root", F.explode("_failed").alias("violation"))
+    accepted = F.col("_proposed") & (F.size("_failed") == 0)
 
-    def merged(name: str):
+    def merged(name: str) -> Column:
         old_value = F.col(f"old.{name}")
         if name in vocab.IDENTITY_COLUMNS:
             return F.coalesce(F.nullif(old_value, F.lit("")), F.col(name))
@@ -201,11 +215,13 @@ def registry_upsert(
             return F.coalesce(F.col(name), F.lit("exclude")) if name in asked else F.lit("exclude")
         return F.coalesce(F.col(name), old_value) if name in asked else old_value
 
-    changed = accepted.select(
-        *[(F.col("root") if c == "root" else merged(c)).alias(c) for c in known]
-    )
-    untouched = registry.select(*known).join(changed.select("root"), "root", "left_anti")
-    return Upsert(untouched.unionByName(changed), conflicts)
+    columns = [
+        F.col("root")
+        if c == "root"
+        else F.when(accepted, merged(c)).otherwise(F.col(f"old.{c}")).alias(c)
+        for c in known
+    ]
+    return Upsert(judged.filter(exists | accepted).select(*columns), conflicts)
 
 
 def changed_mappings(before: DataFrame, after: DataFrame, *, key: str, mapping: str) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from docwarden.operators import export, provenance, validation
+from docwarden.session import materialize
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,11 @@ def export_batch(
     )
     due = entries.filter("document_id IS NOT NULL")
     found = found.unionByName(tag(validation.attribution_check(due, operator), "attribution"))
-    items = export.export_items(entries, corpus, staged, exported_at=exported_at, run_id=run_id)
+    # The texts that are due are joined once; scan, approval and totals read the written items.
+    items = materialize(
+        export.export_items(entries, corpus, staged, exported_at=exported_at, run_id=run_id),
+        "items",
+    )
     found = found.unionByName(export.unsafe_items(items))
     if derived is None:
         derived = entries.sparkSession.createDataFrame(

@@ -68,7 +68,10 @@ def build_snapshot(
             *E.ENTRY_COLUMNS, text, *nothing, F.lit(False).alias("_unsafe_book")
         )
     rows = materialize(rows, "scanned")
-    compared = E.compare_snapshots(rows.select(*E.ENTRY_COLUMNS), previous)
+    # Free of content and read by every check, so it is written once too.
+    compared = materialize(
+        E.compare_snapshots(rows.select(*E.ENTRY_COLUMNS), previous), "compared"
+    )
     staged = rows.filter("export_path IS NOT NULL").select(
         "export_path", F.col("staged_text").alias("content")
     )
