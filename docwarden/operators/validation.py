@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docwarden import vocab
 from docwarden.functions import jsontree
-from docwarden.functions.paths import is_safe_relative
+from docwarden.functions.paths import is_safe_relative, posix
 from docwarden.functions.secrets import has_credential_value, is_sensitive_key
 from docwarden.functions.times import is_zone_offset
 from docwarden.operators.checks import violations
@@ -151,6 +151,17 @@ def validate_profiles(profiles: DataFrame) -> DataFrame:
         "root_not_canonical": ~canonical,
         "bank_identity": ~c("bank_id").rlike(vocab.BANK_ID) | (owner != c("owner_slug")),
     }
+    if "credential_policy" in profiles.columns:
+        rules["credential_policy"] = ~c("credential_policy").isin(*vocab.CREDENTIAL_POLICIES)
+    if {"credential_policy", "credential_sources"} <= set(profiles.columns):
+        sources = c("credential_sources")
+        unusable = (
+            sources.isNull()
+            | (F.size(sources) == 0)
+            | (F.size(F.array_distinct(sources)) < F.size(sources))
+            | F.exists(sources, lambda p: ~is_safe_relative(p) | (posix(p) != p) | (p == "."))
+        )
+        rules["credential_sources"] = (c("credential_policy") == "allow_project_staging") & unusable
     if "extra" in profiles.columns:
         rules["sensitive_material"] = jsontree.has_secrets(c("extra"), "registry")
     return violations(profiles, ["root"], rules)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from docwarden.operators import export, provenance, validation
+from docwarden.operators.entries import eligible, with_roles
+from docwarden.operators.profile import Profile
 from docwarden.session import materialize
 
 
@@ -31,7 +33,11 @@ def export_batch(
     exported_at: str,
     run_id: str,
     derived: DataFrame | None = None,
+    profile: Profile | None = None,
+    roles: DataFrame | None = None,
 ) -> ExportBatch:
+    """With the reviewed ``profile`` the credential policy of every entry must be the one the
+    profile gives its path."""
     tag = lambda df, name: df.select("document_id", F.lit(name).alias("violation"))
     hashes = provenance.corpus_hashes(corpus)
     staged_hashes = staged.select("export_path", F.sha2("content", 256).alias("sha256"))
@@ -42,6 +48,14 @@ def export_batch(
     )
     due = entries.filter("document_id IS NOT NULL")
     found = found.unionByName(tag(validation.attribution_check(due, operator), "attribution"))
+    if profile is not None:
+        held = F.col("_credential") & F.lit(profile.credential_policy == "allow_project_staging")
+        stated = F.coalesce(
+            F.try_element_at("metadata", F.lit("credential_policy")), F.lit("exclude")
+        )
+        differs = (stated == "allow_project_staging") != held
+        marked = with_roles(eligible(due), profile, roles)
+        found = found.unionByName(tag(marked.filter(differs), "credential_policy"))
     # The texts that are due are joined once; scan, approval and totals read the written items.
     items = materialize(
         export.export_items(entries, corpus, staged, exported_at=exported_at, run_id=run_id),

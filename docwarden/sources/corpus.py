@@ -48,9 +48,13 @@ def candidate_filter(corpus: DataFrame, candidates: DataFrame) -> DataFrame:
             "relative_path"
         )
     ).distinct()
-    return listed.join(corpus.withColumn("_found", F.lit(True)), "relative_path", "left").select(
-        "*", F.col("_found").isNull().alias("missing")
-    ).drop("_found")
+    # Paths alone decide what is missing, so the contents are shuffled only if the list is too
+    # large to be broadcast.
+    present = corpus.join(listed, "relative_path", "left_semi").withColumn("missing", F.lit(False))
+    missing = listed.join(corpus.select("relative_path"), "relative_path", "left_anti").withColumn(
+        "missing", F.lit(True)
+    )
+    return present.unionByName(missing, allowMissingColumns=True)
 
 
 def candidate_violations(candidates: DataFrame) -> DataFrame:

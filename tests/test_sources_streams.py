@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docwarden.operators import audit as A, entries as E
 from docwarden.operators.checks import ViolationError
 from docwarden.operators.profile import Profile
+from docwarden.operators.validation import validate_profiles
 from docwarden.plans.export_batch import export_batch
 from docwarden.plans.snapshot import build_snapshot
 from docwarden.sources import corpus as C, tables as S
@@ -90,6 +91,30 @@ def test_export_rejects_changed_bytes(spark):
     assert {(b, "bytes_differ_from_snapshot"), (b, "unsafe_content"), (b, "attribution")} <= got
 
 
+def test_export_rejects_another_credential_policy(spark):
+    docs = spark.createDataFrame([("ops/.env", "password: x"), ("a.md", "y")], "relative_path string, content string")
+    held = Profile(project_slug="acme", operator="alice", scope="wiki", credential_policy="allow_project_staging",
+                   reviewed=True, credential_sources=("ops/.env",))
+    snap = build_snapshot(docs, held)
+    batch = lambda profile: {tuple(r) for r in export_batch(
+        snap.entries, docs, snap.staged, snap.entries.select("document_id"), project="acme", operator="alice",
+        exported_at="t", run_id="r", profile=profile).violations.collect()}
+    assert batch(held) == set()
+    assert batch(PROFILE) == {("kb:acme:source:wiki:ops/.env", "credential_policy")}
+
+
+def test_profile_credential_sources(spark):
+    row = lambda root, policy, sources: (root, "d", "acme", "p", "acme::p", "acme-p", "new_product", True, policy, sources)
+    schema = ("root string, display_name string, owner_slug string, project_slug string, bank_id string,"
+              " product_identity string, relationship string, reviewed boolean, credential_policy string,"
+              " credential_sources array<string>")
+    allow = "allow_project_staging"
+    rows = [row("/a", "exclude", None), row("/b", allow, ["ops/.env"]), row("/c", allow, []), row("/d", allow, None),
+            row("/e", allow, ["a", "a"]), row("/f", allow, ["../a"]), row("/g", "other", None), row("/h", allow, ["./a"])]
+    got = {tuple(r) for r in validate_profiles(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(r, "credential_sources") for r in ("/c", "/d", "/e", "/f", "/h")} | {("/g", "credential_policy")}
+
+
 def test_audit_log(spark, tmp_path):
     event = lambda i, **kw: (i, json.dumps({"operation_id": "o", "phase": "intended", **kw}))
     path = str(tmp_path / "audit")
