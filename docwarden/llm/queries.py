@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from docwarden.llm import op05_exact_dedup  # noqa: F401
+from docwarden.llm import (  # noqa: F401
+    op03_license_scan,
+    op05_exact_dedup,
+    op09_bpe,
+)
 from docwarden.llm.common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
