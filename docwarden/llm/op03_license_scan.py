@@ -101,11 +101,7 @@ class Automaton:
                     after = self.state()
                     self.patterns[at].append((pattern, after))
                     if n >= least:
-                        skipped.append(at)
-                    elif n + 1 >= least:
-                        skipped = []
-                    if n + 1 > least:
-                        self.silent[skipped[-1]].add(after)
+                        self.silent[at].add(after)
                     at = after
                 if least == 0:
                     raise ValueError(f"{label}: write an optional region around a variable that may be absent")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwarden.llm.common import blocks, documents, query
 
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
 #: Encoded pre-tokens a task remembers from block to block; beyond it the memory starts anew.
 
 # The pre-tokenizer's pattern and the white space of the normaliser.
@@ -36,6 +36,22 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 NOT_SPACES = re.compile("[\x1c-\x1f]")
 #: str.split() takes these for white space as well.
+# What the tokenizer's Unicode version 16 has and Python's 15.1 has not. Other code
+# points that Python does not know are no letters or numbers, whatever the pattern library knows.
+SINCE_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105FF), (0x10D40, 0x10D8F),
+    (0x10EC2, 0x10EC4), (0x11380, 0x113FF), (0x116D0, 0x116E3), (0x11BC0, 0x11BFF), (0x13460, 0x143FF),
+    (0x16100, 0x1613F), (0x16D40, 0x16D7F), (0x1CC00, 0x1CEBF), (0x1E5D0, 0x1E5FF),
+)
+LATER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+LATER_LOWER |= {0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5}  # its case mapping is of version 17
+LATER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+HAS_LATER_UPPER = re.compile("[" + "".join(map(chr, LATER_LOWER)) + "]")
+
+
+def unknown(char: str) -> bool:
+    """Not assigned in the tokenizer's Unicode version."""
+    return unicodedata.category(char) == "Cn" and not any(a <= ord(char) <= b for a, b in SINCE_16)
 
 
 def byte_symbols() -> list[str]:
@@ -157,6 +173,8 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text)
             # Letter by letter: lower() alone would give a final sigma.
             text = "σ".join(part.lower() for part in text.split("Σ")) if "Σ" in text else text.lower()
+            if HAS_LATER_UPPER.search(text):
+                text = text.translate(LATER_LOWER)
         else:
             text = text.lower()
         if NOT_SPACES.search(text):
@@ -170,10 +188,10 @@ class WordBpe:
 
     @staticmethod
     def _pieces(chunk: str) -> list[str]:
-        if chunk.isascii() or not any(unicodedata.category(c) == "Cn" for c in chunk):
+        if chunk.isascii() or not any(map(unknown, chunk)):
             return PIECES.findall(chunk)
         # The pattern library may know newer letters than the tokenizer's Unicode version has.
-        masked = "".join("\uffff" if unicodedata.category(c) == "Cn" else c for c in chunk)
+        masked = "".join("\uffff" if unknown(c) else c for c in chunk)
         return [chunk[m.start() : m.end()] for m in PIECES.finditer(masked)]
 
     def learn(self, chunks: set[str]) -> None:
