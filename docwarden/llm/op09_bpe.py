@@ -41,7 +41,7 @@ NOT_SPACES = re.compile("[\x1c-\x1f]")
 SINCE_16 = (
     (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105FF), (0x10D40, 0x10D8F),
     (0x10EC2, 0x10EC4), (0x11380, 0x113FF), (0x116D0, 0x116E3), (0x11BC0, 0x11BFF), (0x13460, 0x143FF),
-    (0x16100, 0x1613F), (0x16D40, 0x16D7F), (0x1CC00, 0x1CEBF), (0x1E5D0, 0x1E5FF),
+    (0x16100, 0x1613F), (0x16D40, 0x16D7F), (0x18CFF, 0x18CFF), (0x1CC00, 0x1CEBF), (0x1E5D0, 0x1E5FF),
 )
 LATER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
 LATER_LOWER |= {0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5}  # its case mapping is of version 17

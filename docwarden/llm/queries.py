@@ -6,6 +6,7 @@ from docwarden.llm import (  # noqa: F401
     op03_license_scan,
     op05_exact_dedup,
     op09_bpe,
+    op10_quality_gam,
 )
 from docwarden.llm.common import ORACLE, QUERIES
 
