@@ -146,8 +146,8 @@ def inside_table(outside: bytes) -> np.ndarray:
     return table
 
 
-def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """One byte array of all texts, a zero byte or more between them, and each text's first byte."""
+def joined(texts: list[bytes], separator: bytes = b"\x00") -> tuple[np.ndarray, np.ndarray]:
+    """One byte array of all texts, each followed by the separator, and each text's first byte."""
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     starts = np.concatenate([[0], np.cumsum(lengths + 1)])
-    return np.frombuffer(b"\x00".join(texts) + b"\x00", dtype=np.uint8), starts
+    return np.frombuffer(separator.join(texts) + separator, dtype=np.uint8), starts

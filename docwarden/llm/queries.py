@@ -7,6 +7,7 @@ from docwarden.llm import (  # noqa: F401
     op03_license_scan,
     op04_warc,
     op05_exact_dedup,
+    op06_jaccard_join,
     op09_bpe,
     op10_quality_gam,
 )
