@@ -8,6 +8,7 @@ from docwarden.llm import (  # noqa: F401
     op04_warc,
     op05_exact_dedup,
     op06_jaccard_join,
+    op07_fingerprints,
     op09_bpe,
     op10_quality_gam,
 )
