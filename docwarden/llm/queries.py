@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docwarden.llm import (  # noqa: F401
     op01_sharding,
+    op02_toxicity,
     op03_license_scan,
     op04_warc,
     op05_exact_dedup,
