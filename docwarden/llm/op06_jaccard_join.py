@@ -409,9 +409,9 @@ def jaccard_components(docs: DataFrame, min_shared: int = MIN_SHARED, width: int
     )
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, min_shared: int = MIN_SHARED, width: int = SHINGLE_WORDS) -> DataFrame:
     """One document of each component, with all columns."""
-    kept = jaccard_components(docs).filter("kept").select("doc_id", "text_hash")
+    kept = jaccard_components(docs, min_shared, width).filter("kept").select("doc_id", "text_hash")
     return matching_rows(docs, durable(kept, "op6-kept"))
 
 

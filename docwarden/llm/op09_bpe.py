@@ -22,6 +22,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -233,17 +234,18 @@ def default_path() -> str:
 
 
 def bpe_encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows of ``docs`` (``doc_id``, ``text``; other columns are ignored) with ``ids`` (array of
-    long) and ``decoded``. A null or empty text has no ids and an empty decoded text."""
+    """One row per row of ``docs`` (``doc_id``, ``text``; other columns are ignored): doc_id, ``ids``
+    and ``decoded``. A null or empty text has no ids and an empty decoded text."""
     named = path or default_path()
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("decoded", pa.string())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, coded in _encoded(batches, named):
-            ids = [[i for (i,) in struct.iter_unpack("<I", x)] for x, _ in coded]
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(ids, schema.field(1).type), pa.array([y for _, y in coded])], schema=schema)
+            ends = np.cumsum([0] + [len(ids) // 4 for ids, _ in coded]).astype(np.int32)
+            flat = np.frombuffer(b"".join(ids for ids, _ in coded), dtype="<i4")
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([block.column(0), ids, pa.array([text for _, text in coded], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return _plain(docs).mapInArrow(work, "doc_id long, ids array<long>, decoded string")
+    return _plain(docs).mapInArrow(work, "doc_id long, ids array<int>, decoded string")
 
 
 def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from docwarden.llm import (  # noqa: F401
     op05_exact_dedup,
     op06_jaccard_join,
     op07_fingerprints,
+    op08_mixing,
     op09_bpe,
     op10_quality_gam,
 )
