@@ -18,8 +18,8 @@ its documents' token bitmaps and their range of sizes. The tree is joined with i
 traversal, which leaves a pair of nodes when their sizes or the bits they share cannot give the
 required overlap, or when all their documents are in one component already; pairs of documents that
 remain are compared exactly. Only links that join two components are returned, so a group of copies
-gives as many links as it has members. A pivot's members beyond ``BLOCK_MEMBERS`` are dealt into
-blocks that all hold the pivot; what a block does not connect to the pivot goes through all blocks of
+gives as many links as it has members. A pivot's members beyond ``BLOCK_MEMBERS`` or ``BLOCK_SHINGLES`` are dealt
+into blocks that all hold the pivot; what a block does not connect to the pivot goes through all blocks of
 that pivot in a second round.
 """
 
@@ -40,7 +40,8 @@ SHINGLE_WORDS = 4
 PUBLISHED = np.uint64(int(0.4 * 2**64))
 #: Shingles with a smaller hash are published and counted.
 BUCKET_BYTES = 16 << 20
-BLOCK_MEMBERS = 2048
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 400_000
+#: A block's bounds; a larger document takes more than the second alone.
 FANOUT = 8
 BROADCAST_ROWS = 1_000_000
 #: Representatives (24 bytes each) that are looked up by broadcast; more are looked up by a shuffle.
@@ -331,7 +332,7 @@ def _join_open(min_shared: int, width: int):
 
 
 def _candidates(docs: DataFrame, described: DataFrame, min_shared: int, width: int) -> DataFrame:
-    """(pivot, class): classes that share a prefix shingle with a smaller class, and the pivots."""
+    """(pivot, class, n): classes that share a prefix shingle with a smaller class, and the pivots."""
     total = described.agg(F.sum("published")).first()[0] or 0
     n_buckets = max(1, -(-total * 16 // BUCKET_BYTES))
     packed = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_publish(n_buckets, width), "bucket long, tokens binary, classes binary")
@@ -344,18 +345,20 @@ def _candidates(docs: DataFrame, described: DataFrame, min_shared: int, width: i
     postings = (
         classes.join(shared, "class", "left")
         .filter(alone <= misses)
-        .select("class", F.explode(F.concat(prefix, F.coalesce("extra", F.array().cast("array<bigint>")))).alias("token"))
+        .select("class", "n", F.explode(F.concat(prefix, F.coalesce("extra", F.array().cast("array<bigint>")))).alias("token"))
     )
     postings = durable(postings, "op6-prefixes")
-    pivots = postings.groupBy("token").agg(F.min("class").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = postings.join(pivots, "token").select("pivot", "class").distinct()
+    pivots = postings.groupBy("token").agg(F.min("class").alias("pivot"), F.count("*").alias("owners")).filter("owners > 1").drop("owners")
+    pairs = postings.join(pivots, "token").select("pivot", "class", "n").distinct()
     return durable(pairs, "op6-pairs")
 
 
 def component_classes(docs: DataFrame, described: DataFrame, min_shared: int, width: int) -> DataFrame:
     """(node, root) over classes that link to another class."""
     pairs = _candidates(docs, described, min_shared, width)
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("n_blocks"))
+    sizes = pairs.groupBy("pivot").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")
+    )
     placed = pairs.join(sizes, "pivot").select(
         "pivot", "class", "n_blocks",
         F.explode(F.when(F.col("class") == F.col("pivot"), F.sequence(F.lit(0), F.col("n_blocks") - 1))
