@@ -54,7 +54,7 @@ def paragraph_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _check(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys ^ _SEEDS[3]) >> np.uint64(48)).astype(np.uint16)
+    return mix(keys ^ _SEEDS[3])
 
 
 def _places(owner: np.ndarray, keys: np.ndarray, cells: int) -> list[np.ndarray]:
@@ -70,7 +70,7 @@ class Sketches:
         self.n, self.cells = n, cells
         self.count = np.zeros(n * cells, dtype=np.int64)
         self.key = np.zeros(n * cells, dtype=np.uint64)
-        self.check = np.zeros(n * cells, dtype=np.uint16)
+        self.check = np.zeros(n * cells, dtype=np.uint64)
 
     def add(self, owner: np.ndarray, keys: np.ndarray, sign) -> None:
         check = _check(keys)
@@ -80,16 +80,16 @@ class Sketches:
             np.bitwise_xor.at(self.check, at, check)
 
     def packed(self) -> list[bytes]:
-        """Each sketch as bytes: 12 for a cell."""
+        """Each sketch as bytes: 12 for a cell, of whose check 16 bits are kept."""
         cell = np.zeros(self.n * self.cells, dtype=[("count", "<i2"), ("check", "<u2"), ("key", "<u8")])
-        cell["count"], cell["check"], cell["key"] = self.count, self.check, self.key
+        cell["count"], cell["check"], cell["key"] = self.count, self.check >> np.uint64(48), self.key
         raw, size = cell.tobytes(), self.cells * cell.itemsize
         return [raw[i * size : (i + 1) * size] for i in range(self.n)]
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Owner, key and sign of what was recovered, and which sketches came out empty."""
         owners, keys, signs = [], [], []
-        while True:
+        for _ in range(2 * self.cells + 8):  # a round takes a key of some sketch at least, of at most as many
             pure = np.flatnonzero(np.abs(self.count) == 1)
             pure = pure[_check(self.key[pure]) == self.check[pure]]
             if not len(pure):
