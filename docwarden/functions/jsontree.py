@@ -1,11 +1,13 @@
-"""Nested JSON as VARIANT: secret scan, sanitising and containment, unrolled to a fixed depth.
-
-SQL has no recursion inside an expression. Documents nested deeper than ``DEPTH`` are reported by
-:func:`is_too_deep` rather than passed."""
+"""Nested JSON: secret scan and containment at any depth; sanitising as VARIANT, unrolled to a fixed
+depth, since SQL has no recursion inside an expression."""
 
 from __future__ import annotations
 
+import json as json_module
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import BooleanType
 
 from docwarden import vocab
 from docwarden.functions.secrets import has_credential_value, is_sensitive_key, mask_credentials
@@ -52,32 +54,34 @@ def _parsed(json: Column) -> Column:
     return F.try_parse_json(json)
 
 
-def _secret(value: Column, family: str, depth: int) -> Column:
-    leaf = F.when(_is_string(value), has_credential_value(value.try_cast("string"), family))
-    if depth == 0:
-        return leaf.otherwise(False)
-    below = F.exists(
-        _children(value),
-        lambda e: is_sensitive_key(e["key"], family) | _secret(e["value"], family, depth - 1),
-    )
-    return leaf.otherwise(F.coalesce(below, F.lit(False)))
+_STRING = r'(?s)"(?:[^"\\]|\\.)*+"(?:\s*+:)?'
 
 
-def has_secrets(json: Column, family: str = "audit", depth: int = DEPTH) -> Column:
-    """Whether JSON text holds a sensitive key or a credential-shaped value at any level."""
-    return F.coalesce(_secret(_parsed(json), family, depth), F.lit(False))
+def _decoded(literal: Column) -> Column:
+    """Text of a JSON string literal."""
+    bare = F.substring(literal, F.lit(2), F.length(literal) - 2)
+    read = F.get(F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>"), F.lit(0))
+    return F.when(literal.contains("\\"), F.coalesce(read, bare)).otherwise(bare)
 
 
-def _deep(value: Column, depth: int) -> Column:
-    if depth == 0:
-        return _is_object(value) | _is_array(value)
-    return F.coalesce(
-        F.exists(_children(value), lambda e: _deep(e["value"], depth - 1)), F.lit(False)
-    )
+def has_secrets(json: Column, family: str = "audit") -> Column:
+    """Whether JSON text holds a sensitive key or a credential-shaped value at any level.
 
+    Keys and text values are the only string literals of JSON, so one pass over these sees all of
+    them, however deep they are, and also where the text as a whole does not parse."""
 
-def is_too_deep(json: Column, depth: int = DEPTH) -> Column:
-    return F.coalesce(_deep(_parsed(json), depth), F.lit(False))
+    def secret(token: Column) -> Column:
+        literal = F.regexp_replace(token, r"\s*:\z", "")
+        return F.when(token.endswith(":"), is_sensitive_key(_decoded(literal), family)).otherwise(
+            has_credential_value(_decoded(literal), family)
+        )
+
+    return F.coalesce(F.exists(F.regexp_extract_all(json, F.lit(_STRING), F.lit(0)), secret), F.lit(False))
+
+
+def is_json_object(json: Column) -> Column:
+    """Whether text parses as one JSON object; repeated keys do not."""
+    return F.coalesce(_is_object(_parsed(json)), F.lit(False))
 
 
 def _let(value: Column, body) -> Column:
@@ -167,25 +171,43 @@ def sanitize_map(values: Column, *, keep_listings: bool = False) -> Column:
     )
 
 
-def _contains(actual: Column, expected: Column, depth: int) -> Column:
-    equal = F.coalesce(F.to_json(actual) == F.to_json(expected), F.lit(False))
-    if depth == 0:
-        return equal
-    pairs = actual.try_cast("map<string,variant>")
-    return F.when(
-        _is_object(expected),
-        F.coalesce(_is_object(actual), F.lit(False))
-        & F.forall(
-            _pairs(expected),
-            lambda e: F.coalesce(F.map_contains_key(pairs, e["key"]), F.lit(False))
-            & _contains(F.try_element_at(pairs, e["key"]), e["value"], depth - 1),
-        ),
-    ).otherwise(equal)
+def _within(expected: object, actual: object) -> bool:
+    """Objects field by field, anything else as a whole."""
+    open_ = [(expected, actual)]
+    while open_:
+        want, have = open_.pop()
+        if isinstance(want, dict):
+            if not isinstance(have, dict) or any(key not in have for key in want):
+                return False
+            open_ += [(value, have[key]) for key, value in want.items()]
+        elif want != have:
+            return False
+    return True
+
+
+def _loaded(text: str | None) -> object:
+    try:
+        return json_module.loads(text)
+    except (TypeError, ValueError, RecursionError):
+        return None
+
+
+@F.pandas_udf(BooleanType())
+def _contains(actual: pd.Series, expected: pd.Series) -> pd.Series:
+    return pd.Series(
+        [
+            (want := _loaded(e)) is not None and (have := _loaded(a)) is not None and _within(want, have)
+            for a, e in zip(actual, expected, strict=True)
+        ],
+        dtype=bool,
+    )
 
 
-def config_contains(actual: Column, expected: Column, depth: int = DEPTH) -> Column:
-    """Whether every field of the expected JSON object has the same value in the actual one."""
-    return F.coalesce(_contains(_parsed(actual), _parsed(expected), depth), F.lit(False))
+def config_contains(actual: Column, expected: Column) -> Column:
+    """Whether every field of the expected JSON object has the same value in the actual one, at any
+    depth. The one place where rows go through Python, in Arrow batches: an expression would have to
+    stop at a depth, and below it give wrong answers. Text that is not JSON contains nothing."""
+    return _contains(actual.cast("string"), expected.cast("string"))
 
 
 def canonical_json(columns: dict[str, Column]) -> Column:

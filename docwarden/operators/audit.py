@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docwarden import vocab
 from docwarden.functions import jsontree
 from docwarden.functions.jsontree import sanitize_json, sanitize_text
+from docwarden.functions.secrets import has_credential_value
 
 TERMINAL_PHASES = ("completed", "failed", "cancelled", "timed_out", "uncertain")
 
@@ -35,19 +36,17 @@ def poll_status(status: Column) -> Column:
 
 
 def reject_secrets(events: DataFrame, *, key: str, json: str, family: str = "audit") -> DataFrame:
-    """Violations of rows whose JSON holds a secret or body field, a credential, or nesting that
-    was not looked through."""
-    reason = (
-        F.when(jsontree.has_secrets(F.col(json), family), "secret")
-        .when(jsontree.is_too_deep(F.col(json)), "too_deep")
-    )
+    """Violations of rows whose JSON holds a secret or body field or a credential, or that hold no
+    JSON object; such text is looked through as plain text as well."""
+    text, whole = F.col(json), jsontree.is_json_object(F.col(json))
+    secret = jsontree.has_secrets(text, family) | (~whole & has_credential_value(text, family))
+    reason = F.when(secret, "secret").when(~whole, "not_an_object")
     return events.select(key, reason.alias("violation")).filter("violation IS NOT NULL")
 
 
 def accepted_events(events: DataFrame, *, json: str) -> DataFrame:
     """Rows that may be appended to the audit log."""
-    bad = jsontree.has_secrets(F.col(json)) | jsontree.is_too_deep(F.col(json))
-    return events.filter(~bad)
+    return events.filter(jsontree.is_json_object(F.col(json)) & ~jsontree.has_secrets(F.col(json)))
 
 
 def audit_lifecycle(events: DataFrame) -> DataFrame:
@@ -115,15 +114,34 @@ def join_outcomes(
     )
 
 
+def first_outcomes(outcomes: DataFrame) -> DataFrame:
+    """One outcome per start: the first terminal event, of several at one time the first by name."""
+    first = F.min(F.struct(F.col("end_ts").isNull().alias("none"), "end_ts", "outcome")).alias("_first")
+    return outcomes.groupBy("operation_id", "start_ts").agg(first).select(
+        "operation_id", "start_ts", "_first.end_ts", "_first.outcome"
+    )
+
+
 def operation_outcomes(
     events: DataFrame, *, deadline_seconds: int = vocab.DEADLINE_SECONDS
 ) -> DataFrame:
-    """Batch twin of the stream: repeated (operation, phase, time) events count once."""
+    """Batch twin of the stream and its reader: each start with the first terminal event within the
+    deadline. Repeated (operation, phase, time) events count once.
+
+    One pass over an operation's events, the last first, carries the nearest end back to each start;
+    starts and ends are never paired."""
     once = events.select("operation_id", "phase", "ts").distinct()
-    return join_outcomes(
-        first_of_phase(once, ("intended",), "start"),
-        first_of_phase(once, vocab.TERMINAL_STATES, "end"),
-        deadline_seconds=deadline_seconds,
+    is_end = F.col("phase").isin(*vocab.TERMINAL_STATES)
+    back = Window.partitionBy("operation_id").orderBy(F.desc("ts"), F.desc(is_end), F.desc("phase"))
+    nearest = F.last(F.when(is_end, F.struct(F.col("ts").alias("end_ts"), "phase")), ignorenulls=True)
+    seen = once.filter(is_end | (F.col("phase") == "intended")).withColumn("_end", nearest.over(back))
+    deadline = F.expr(f"INTERVAL {int(deadline_seconds)} SECONDS")
+    end = F.when(F.col("_end.end_ts") <= F.col("ts") + deadline, F.col("_end"))
+    return seen.filter("phase = 'intended'").select(
+        "operation_id",
+        F.col("ts").alias("start_ts"),
+        end["end_ts"].alias("end_ts"),
+        F.coalesce(end["phase"], F.lit("timed_out")).alias("outcome"),
     )
 
 

@@ -162,8 +162,14 @@ def validate_profiles(profiles: DataFrame) -> DataFrame:
             | F.exists(sources, lambda p: ~is_safe_relative(p) | (posix(p) != p) | (p == "."))
         )
         rules["credential_sources"] = (c("credential_policy") == "allow_project_staging") & unusable
+    secret = F.lit(False)
+    for name, kind in profiles.dtypes:
+        if kind == "string" and name != "extra":
+            secret |= has_credential_value(c(name), "registry")
     if "extra" in profiles.columns:
-        rules["sensitive_material"] = jsontree.has_secrets(c("extra"), "registry")
+        secret |= jsontree.has_secrets(c("extra"), "registry")
+        rules["extra_not_an_object"] = c("extra").isNotNull() & ~jsontree.is_json_object(c("extra"))
+    rules["sensitive_material"] = secret
     return violations(profiles, ["root"], rules)
 
 

@@ -43,13 +43,13 @@ def test_entropy(spark):
 
 
 def test_times(spark):
-    got = values(spark, ["2026-09-01 15:50", "2026-01-05 08:00", "2026-10-25 02:30",
+    got = values(spark, ["2026-09-01 17:20", "2026-01-05 08:00", "2026-10-25 02:30",
                          "2026-03-29 02:30", "2026-13-01 00:00"], times.local_to_offset_iso)
-    assert got == ["2026-09-01T15:50:00+02:00", "2026-01-05T08:00:00+01:00",
+    assert got == ["2026-09-01T17:20:00+02:00", "2026-01-05T08:00:00+01:00",
                    "2026-10-25T02:30:00+02:00", "2026-03-29T02:30:00+01:00", None]
-    assert values(spark, got[:4] + ["2026-09-01T15:50:00+00:00"], times.is_zone_offset) == [
+    assert values(spark, got[:4] + ["2026-09-01T17:20:00+00:00"], times.is_zone_offset) == [
         True, True, True, False, False]
-    assert values(spark, ["2026-09-01T15:50:00+02:00", "2026-09-01T15:50:00", "2026-09-01T15:50Z",
+    assert values(spark, ["2026-09-01T17:20:00+02:00", "2026-09-01T17:20:00", "2026-09-01T17:20Z",
                           "2026-02-30T00:00:00Z", None], times.is_offset_iso) == [
         True, False, True, False, False]
 
@@ -82,13 +82,14 @@ def test_sanitize(spark):
 
 
 def test_secret_scan(spark):
-    deep = {"a": 1}
-    for _ in range(7):
-        deep = {"a": deep}
+    deep, clean = {"password": 1}, {"note": 1}
+    for _ in range(30):
+        deep, clean = {"a": [deep]}, {"a": [clean]}
     rows = [json.dumps(x) for x in (
-        {"a": {"b": [{"password": 1}]}}, {"a": ["secret: hunter2"]}, {"token_budget": 3}, deep)]
-    assert values(spark, rows, jsontree.has_secrets) == [True, True, False, False]
-    assert values(spark, rows, jsontree.is_too_deep) == [False, False, False, True]
+        {"a": {"b": [{"password": 1}]}}, {"a": ["secret: plum"]}, {"token_budget": 3}, deep, clean)]
+    rows += ['{"a": 1, "a": {"password": "x"}}', '{"\\u0070assword": 1}', '{"note": "a \\"b\\" : c"}', "[1]"]
+    assert values(spark, rows, jsontree.has_secrets) == [True, True, False, True, False, True, True, False, False]
+    assert values(spark, rows, jsontree.is_json_object) == [True] * 5 + [False, True, True, False]
     assert values(spark, ['{"token": 1}', '{"credential_sources": ["a"]}'],
                   lambda v: jsontree.has_secrets(v, "registry")) == [True, False]
 
@@ -99,3 +100,8 @@ def test_config_contains(spark):
                                     {"a": {"c": [1]}}, {"d": 5}, {"x": None})]
     got = values(spark, rows, lambda v: jsontree.config_contains(F.lit(actual), v))
     assert got == [True, True, False, True, False, False, False]
+    below, above = '{"x": 1}', '{"x": 1, "y": 2}'
+    for _ in range(25):
+        below, above = '{"k": %s}' % below, '{"k": %s, "z": 0}' % above
+    assert values(spark, [below, above, '{"x": 1}'], lambda v: jsontree.config_contains(F.lit(above), v)) == [True, True, False]
+    assert values(spark, [above, "no json"], lambda v: jsontree.config_contains(F.lit(below), v)) == [False, False]
