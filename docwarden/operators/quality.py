@@ -34,13 +34,11 @@ def quality_gate(cases: DataFrame) -> DataFrame:
 def latest_per_id(
     records: DataFrame, *, key: str = "document_id", order: tuple[str, ...] = ("exported_at",)
 ) -> DataFrame:
-    """The last record of each id; ``order`` has to tell the records of an id apart.
-
-    The maximum is taken over the order columns only and combines before the shuffle; whole rows
-    are then looked up by id and order, a key that is not hot even if the id is."""
-    latest = records.groupBy(key).agg(F.max(F.struct(*order)).alias("_last"))
-    keys = latest.select(key, *[F.col(f"_last.{c}").alias(c) for c in order])
-    return records.join(keys, [key, *order], "left_semi")
+    """The last record of each id, one even if several share the order; a missing order value comes
+    before any other. Maxima combine before the shuffle, so an id with very many records is one row
+    per task."""
+    last = F.max_by(F.struct(*records.columns), F.struct(*order)).alias("_last")
+    return records.groupBy(F.col(key).alias("_key")).agg(last).select("_last.*")
 
 
 def current_decisions(decisions: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
@@ -61,7 +59,7 @@ def current_decisions(decisions: DataFrame, corrections: DataFrame | None = None
         .agg(F.max(F.struct("decided_at", "decision_id")).alias("_last"))
         .select("subject", F.col("_last.decision_id").alias("current_id"))
     )
-    joined = lookup_join(standing, latest, ["subject"], spread=["decision_id"])
+    joined = lookup_join(standing, latest, ["subject"])
     status = (
         F.when(F.col("_refuted").isNotNull(), "disproved")
         .when(F.col("decision_id") == F.col("current_id"), "current")

@@ -15,8 +15,13 @@ def scan_corpus(
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    marker = "/" + root.strip("/").split("://")[-1].strip("/") + "/"
-    relative = F.expr(f"substring_index(path, '{marker}', -1)")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files_of = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    above = files_of.makeQualified(path).toString().rstrip("/") + "/"
+    # The root is cut off the front once; its name may come again below it.
+    relative = F.when(F.col("path").startswith(above), F.substring("path", len(above) + 1, 1 << 30)).otherwise(
+        F.raise_error(F.concat(F.lit("file outside the root: "), "path"))
+    )
     files = reader.load(root).select(
         relative.alias("relative_path"),
         "content",
@@ -32,15 +37,6 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread_input(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table that fewer tasks would read than there are cores.
-
-    A small table in one row group is one task, whatever the work per row. Inputs with at least one
-    split per core, as large ones have, are returned as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def candidate_filter(corpus: DataFrame, candidates: DataFrame) -> DataFrame:
     """Restrict a corpus to listed paths; a listed path that is absent stays as ``missing``."""
     listed = candidates.select(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from docwarden.functions.secrets import has_credential_value
 from docwarden.operators.audit import accepted_events, reject_secrets
 from docwarden.operators.checks import ViolationError, require_none
 from docwarden.operators.digests import snapshot_digest
@@ -65,13 +68,16 @@ def read_staged(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     return spark.read.schema("export_path string, content string").parquet(f"{path}/run_id={run_id}")
 
 
-def append_audit(events: DataFrame, path: str, *, key: str, json: str, strict: bool = True) -> None:
-    """Append JSON lines. Strict mode refuses the whole batch if one event holds a secret."""
+def append_audit(events: DataFrame, path: str, *, key: str, json: str, strict: bool = True) -> DataFrame:
+    """Append JSON lines; returns the violations of the events that were left out. Strict mode refuses
+    the whole batch if there is one."""
+    rejected = reject_secrets(events, key=key, json=json)
     if strict:
-        require_none(reject_secrets(events, key=key, json=json))
+        require_none(rejected)
     accepted_events(events, json=json).select(F.col(json).alias("value")).write.mode(
         "append"
     ).text(path)
+    return rejected
 
 
 def read_audit(spark: SparkSession, path: str, schema: str = AUDIT_SCHEMA) -> DataFrame:
@@ -139,14 +145,28 @@ def read_derived_batch(
 
 
 def write_registry(registry: DataFrame, path: str, *, extra: str | None = None) -> None:
-    """Write a new version of the roots table; the open part is checked for secrets first."""
+    """Write a new version of the roots table beside the earlier ones, so that a table made from the
+    one before is not lost under it. The open part and every text column are checked for secrets."""
+    secret = F.lit(False)
+    for name, kind in registry.dtypes:
+        if kind == "string" and name != extra:
+            secret |= has_credential_value(F.col(name), "registry")
+    require_none(registry.filter(secret).select("root", F.lit("secret").alias("violation")))
     if extra is not None:
-        require_none(reject_secrets(registry, key="root", json=extra, family="registry"))
-    registry.write.mode("overwrite").parquet(path)
+        filled = registry.filter(F.col(extra).isNotNull())
+        require_none(reject_secrets(filled, key="root", json=extra, family="registry"))
+    registry.write.mode("errorifexists").parquet(f"{path}/{time.time_ns():020d}")
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The last complete version."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    versions = [f.getPath() for f in files.listStatus(folder) if f.isDirectory()]
+    done = [v.toString() for v in versions if files.exists(spark._jvm.org.apache.hadoop.fs.Path(v, "_SUCCESS"))]
+    if not done:
+        raise ViolationError("the roots table has no complete version")
+    return spark.read.parquet(max(done))
 
 
 def write_inventory(capsules: DataFrame, inventory: DataFrame, path: str) -> None:

@@ -149,6 +149,11 @@ def test_graph_and_derived_inputs(spark, tmp_path):
         S.write_registry(registry, str(tmp_path / "reg"), extra="extra")
     S.write_registry(registry.drop("extra"), str(tmp_path / "reg"))
     assert S.read_registry(spark, str(tmp_path / "reg")).count() == 1
+    more = spark.createDataFrame([("/b",)], "root string")
+    S.write_registry(S.read_registry(spark, str(tmp_path / "reg")).unionByName(more), str(tmp_path / "reg"))
+    assert {r[0] for r in S.read_registry(spark, str(tmp_path / "reg")).collect()} == {"/a", "/b"}
+    with pytest.raises(ViolationError):
+        S.write_registry(spark.createDataFrame([("/c", "password=seven otters")], "root string, display_name string"), str(tmp_path / "reg"))
 
 
 PHASES = [
@@ -204,6 +209,40 @@ def test_upsert_over_several_batches(spark, tmp_path):
             jobs.upsert_batch(spark.createDataFrame(rows, schema), path, version, buckets=4)
     got = {r["document_id"]: r["content"] for r in jobs.read_upserted(spark, path).collect()}
     assert got == {"a": "a2", "b": "b3", "c": "c3"}
+    # Another run counts its batches from 0 again.
+    jobs.upsert_batch(spark.createDataFrame([("a", 9, "a9"), ("d", None, "d0")], schema), path, 0, run="second", buckets=4)
+    jobs.upsert_batch(spark.createDataFrame([("d", 1, "d1")], schema), path, 1, run="second", buckets=4)
+    got = {r["document_id"]: r["content"] for r in jobs.read_upserted(spark, path).collect()}
+    assert got == {"a": "a9", "b": "b3", "c": "c3", "d": "d1"}
+    with pytest.raises(ValueError):
+        jobs.upsert_batch(spark.createDataFrame([("a", 9, "x")], schema), path, 7, run="second", buckets=8)
+
+
+def test_one_outcome_per_start(spark):
+    rows = [("o", "intended", 0), ("o", "failed", 50), ("o", "completed", 50), ("o", "cancelled", 90), ("o", "intended", 60), ("p", "completed", 1), ("p", "intended", 2)]
+    events = spark.createDataFrame(rows, "operation_id string, phase string, s int").select(
+        "operation_id", "phase", F.timestamp_seconds(F.col("s")).alias("ts"))
+    got = [tuple(r) for r in A.operation_outcomes(events).orderBy("operation_id", "start_ts").select("operation_id", "outcome").collect()]
+    assert got == [("o", "completed"), ("o", "cancelled"), ("p", "timed_out")]
+
+
+def test_scan_cuts_the_root_from_the_front(spark, tmp_path):
+    root = tmp_path / "it's docs"
+    for name in ("readme.md", "sub/it's docs/readme.md"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x")
+    got = {r["relative_path"] for r in C.scan_corpus(spark, str(root)).select("relative_path").collect()}
+    assert got == {"readme.md", "sub/it's docs/readme.md"}
+
+
+def test_log_reports_what_it_leaves_out(spark, tmp_path):
+    rows = [("1", '{"a": 1}'), ("2", "password: plum"), ("3", "[1]"), ("4", '{"a": 1, "a": {"password": "x"}}')]
+    events = spark.createDataFrame(rows, "k string, event string")
+    left = S.append_audit(events, str(tmp_path / "log"), key="k", json="event", strict=False)
+    assert {tuple(r) for r in left.collect()} == {("2", "secret"), ("3", "not_an_object"), ("4", "secret")}
+    assert spark.read.text(str(tmp_path / "log")).count() == 1
+    with pytest.raises(ViolationError):
+        S.append_audit(events, str(tmp_path / "log"), key="k", json="event")
 
 
 def test_ordered_and_eligible(spark):
