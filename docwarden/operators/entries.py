@@ -356,7 +356,7 @@ def detect_renames(compared: DataFrame, previous: DataFrame) -> DataFrame:
         "_pair", F.when(candidate, hash_pair()).otherwise(F.concat(F.lit("~"), unique))
     )
     joined = lookup_join(
-        keyed, rename_origins(previous), ["_pair"], spread=["relative_path", "document_id"]
+        keyed, rename_origins(previous), ["_pair"]
     )
     path, first, last = F.col("relative_path"), F.col("_first"), F.col("_last")
     origin = (

@@ -11,8 +11,7 @@ from docwarden.functions.paths import path_in_prefixes
 from docwarden.functions.text import subject_slug
 from docwarden.operators.checks import duplicates
 from docwarden.operators.profile import active_operator, build_metadata, tag_component
-from docwarden.operators.skew import HOT_GROUP_ROWS, lookup_join, rank_within
-from docwarden.session import materialize
+from docwarden.operators.skew import lookup_join, rank_within
 
 EDGE_COLUMNS = ["source", "target", "type", "evidence", "confidence"]
 EDGE_ORDER = ["type", "source", "target", "evidence", "confidence"]
@@ -101,7 +100,7 @@ def edge_subjects(
     df = edges
     for end in ("source", "target"):
         side = typed.select(F.col("id").alias(end), F.col("rank").alias(f"_{end}"))
-        df = lookup_join(df, side, [end], spread=[c for c in EDGE_COLUMNS if c != end])
+        df = lookup_join(df, side, [end])
     none = F.lit(len(types)).cast("bigint")
     best = {
         end: F.least(
@@ -119,18 +118,20 @@ def chunk_edges(
     subjects: DataFrame,
     max_edges: int = vocab.MAX_EDGES,
     *,
-    hot_rows: int = HOT_GROUP_ROWS,
     slabs: int | None = None,
 ) -> DataFrame:
-    """Number the edges of a subject in order and cut them into parts of ``max_edges``.
-
-    The subjects are written once, as the ranking reads them twice: for the group sizes, one
-    column, and for the ranks."""
-    subjects = materialize(subjects, "subjects")
-    ranked = rank_within(
-        subjects, "subject", EDGE_ORDER, rank="position", total="subject_edges",
-        hot_rows=hot_rows, slabs=slabs,
-    )
+    """Number the edges of a subject in order and cut them into parts of ``max_edges``."""
+    ranked = number_edges(subjects, slabs=slabs)
+    return cut_edges(ranked, max_edges)
+
+
+def number_edges(subjects: DataFrame, *, slabs: int | None = None) -> DataFrame:
+    """Position of each edge within its subject, whatever the size of the parts."""
+    return rank_within(subjects, "subject", EDGE_ORDER, rank="position", total="subject_edges", slabs=slabs)
+
+
+def cut_edges(ranked: DataFrame, max_edges: int = vocab.MAX_EDGES) -> DataFrame:
+    """Parts of ``max_edges`` numbered edges."""
     return ranked.withColumns(
         {
             "part": (F.floor((F.col("position") - 1) / max_edges) + 1).cast("int"),

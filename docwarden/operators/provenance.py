@@ -40,16 +40,16 @@ def corpus_hashes(corpus: DataFrame, *, content: str = "content") -> DataFrame:
     return corpus.select("relative_path", F.sha2(raw, 256).alias("sha256"))
 
 
-def _with_actual(df: DataFrame, corpus: DataFrame, path: str, spread: list[str]) -> DataFrame:
+def _with_actual(df: DataFrame, corpus: DataFrame, path: str) -> DataFrame:
     side = corpus.select(F.col("relative_path").alias(path), F.col("sha256").alias("_actual"))
-    return lookup_join(df, side, [path], spread=spread)
+    return lookup_join(df, side, [path])
 
 
 def verify_provenance(
     records: DataFrame, corpus: DataFrame, *, key: str = "document_id"
 ) -> DataFrame:
     """Status of each record's source_path and source_sha256."""
-    joined = _with_actual(records, corpus, "source_path", [key])
+    joined = _with_actual(records, corpus, "source_path")
     status = _status(F.col("source_path"), F.col("source_sha256"), F.col("_actual"))
     return joined.withColumn("status", status).drop("_actual")
 
@@ -109,7 +109,7 @@ def verify_evidence(records: DataFrame, corpus: DataFrame) -> DataFrame:
     # A record without evidence has a null path; its own id keeps such rows apart.
     checked = _with_actual(
         items.withColumn("source_path", F.coalesce("source_path", F.concat(F.lit("\u0000"), "document_id"))),
-        corpus, "source_path", ["document_id", "position"],
+        corpus, "source_path",
     ).withColumn("item_status", _status(F.col("source_path"), F.col("source_sha256"), F.col("_actual")))
     per_record = checked.groupBy("document_id").agg(
         F.first("shape").alias("shape"),
@@ -141,7 +141,7 @@ def verify_snapshot(entries: DataFrame, corpus: DataFrame, staged: DataFrame) ->
         .alias("expected_source"),
         F.coalesce("exported_sha256", "source_sha256").alias("expected_staged"),
     )
-    joined = _with_actual(rows, corpus, "relative_path", ["document_id"]).withColumnRenamed(
+    joined = _with_actual(rows, corpus, "relative_path").withColumnRenamed(
         "_actual", "_source"
     )
     # Entries without a staged text get a key of their own instead of a common null.
@@ -172,7 +172,7 @@ def verify_snapshot(entries: DataFrame, corpus: DataFrame, staged: DataFrame) ->
 
 def freshness_check(retained: DataFrame, corpus: DataFrame) -> DataFrame:
     """fresh, stale or gone for retained (document_id, source_path, source_sha256)."""
-    joined = _with_actual(retained, corpus, "source_path", ["document_id"])
+    joined = _with_actual(retained, corpus, "source_path")
     status = (
         F.when(F.col("_actual").isNull(), "gone")
         .when(F.col("_actual").eqNullSafe(F.col("source_sha256")), "fresh")

@@ -26,7 +26,7 @@ def resolve_roots(paths: DataFrame, roots: DataFrame, *, path: str = "path") ->
     deepest root is a maximum, not a ranking, and combines before the shuffle."""
     prefixes = paths.select(path).distinct().select(path, F.explode(ancestors(F.col(path))).alias("root"))
     known = roots.select("root", path_depth(F.col("root")).alias("_depth"))
-    joined = lookup_join(prefixes, known, ["root"], spread=[path])
+    joined = lookup_join(prefixes, known, ["root"])
     best = F.max(F.when(F.col("_depth").isNotNull(), F.struct("_depth", "root")))
     return joined.groupBy(path).agg(best.alias("_best")).select(
         path, F.col("_best.root").alias("root"), F.col("_best._depth").alias("depth")
@@ -82,7 +82,7 @@ def propose_registration(requests: DataFrame, registry: DataFrame) -> DataFrame:
         "_product", F.coalesce("existing_product", F.concat(F.lit("\u0000"), "root"))
     )
     joined = lookup_join(
-        keyed, banks.withColumnRenamed("existing_product", "_product"), ["_product"], spread=["root"]
+        keyed, banks.withColumnRenamed("existing_product", "_product"), ["_product"]
     )
     owner = F.when(
         asks, F.coalesce("_bank_owner", F.substring_index("_bank", "::", 1))
@@ -156,12 +156,12 @@ def registry_upsert(
     same = registry.groupBy("bank_id", "product_identity", "project_slug").agg(
         F.count("*").alias("_same_roots")
     )
-    both = lookup_join(both, totals, ["bank_id"], spread=["root"])
+    both = lookup_join(both, totals, ["bank_id"])
     both = lookup_join(
-        both, same, ["bank_id", "product_identity", "project_slug"], spread=["root"]
+        both, same, ["bank_id", "product_identity", "project_slug"]
     )
     in_batch = proposals.groupBy("bank_id").agg(F.count("*").alias("_batch_roots"))
-    both = lookup_join(both, in_batch, ["bank_id"], spread=["root"])
+    both = lookup_join(both, in_batch, ["bank_id"])
 
     exists = F.col("old").isNotNull()
     own = F.coalesce((F.col("old.bank_id") == F.col("bank_id")).cast("int"), F.lit(0))

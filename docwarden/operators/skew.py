@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-SALTS = 16
-HOT_GROUP_ROWS = 1_000_000
+from docwarden.session import materialize
 
 
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    *,
-    spread: list[str | Column],
-    how: str = "left",
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join rows to a table that is unique on ``on``, spreading each key over ``salts`` tasks.
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], *, how: str = "left") -> DataFrame:
+    """Join rows to a table that is unique on ``on``.
 
-    ``spread`` names columns of ``left`` that differ between rows of one key. The right side is
-    repeated once per salt; a right side that Catalyst knows to be small is broadcast instead."""
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    A plain equi-join: adaptive execution splits the partition of a key that owns many rows of
+    ``left`` and reads the one matching row of ``right`` again for each piece, so nothing is repeated
+    for keys that are not hot. Callers give a missing key a value of its own, so that missing keys do
+    not meet in one task."""
+    return left.join(right, on, how)
 
 
 def rank_within(
@@ -33,49 +24,27 @@ def rank_within(
     *,
     rank: str = "rank",
     total: str = "total",
-    hot_rows: int = HOT_GROUP_ROWS,
     slabs: int | None = None,
 ) -> DataFrame:
-    """1-based position of each row within its group, and the group's size.
-
-    Groups up to ``hot_rows`` rows are ranked by a window on the group. Larger groups are range
-    partitioned on the order columns, so that one group covers many tasks: each task ranks its own
-    slab, and slab sizes, one row per group and slab, are summed up to offsets. The slabs are
-    checkpointed because range boundaries are sampled and would differ in a second evaluation."""
-    sizes = df.groupBy(group).agg(F.count("*").alias(total))
-    hot = sizes.filter(F.col(total) > hot_rows)
-    window = Window.partitionBy(group).orderBy(*order)
-    if hot.isEmpty():
-        return df.withColumns(
-            {
-                rank: F.row_number().over(window),
-                total: F.count("*").over(Window.partitionBy(group)),
-            }
-        )
-    # Hot groups are few: at most (all rows / hot_rows).
-    marked = lookup_join(df, hot, [group], spread=order)
-    cold = marked.filter(F.col(total).isNull()).withColumns(
-        {rank: F.row_number().over(window), total: F.count("*").over(Window.partitionBy(group))}
-    )
-    ranged = marked.filter(F.col(total).isNotNull())
-    ranged = (
-        ranged.repartitionByRange(slabs, group, *order)
-        if slabs
-        else ranged.repartitionByRange(group, *order)
-    )
-    ranged = ranged.withColumn("_slab", F.spark_partition_id()).checkpoint()
-    before = Window.partitionBy(group).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy(group, "_slab")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
-    )
-    in_slab = Window.partitionBy(group, "_slab").orderBy(*order)
-    placed = (
-        ranged.withColumn("_local", F.row_number().over(in_slab))
-        .join(offsets, [group, "_slab"])
-        .withColumn(rank, F.col("_local") + F.col("_offset"))
+    """1-based position of each row within its group, and the group's size, both bigint.
+
+    Rows are range partitioned on group and order, so that a large group covers many tasks and small
+    ones share one. Each task ranks its own slab of a group; slab sizes, one row per group and slab,
+    are summed up to offsets. The slabs are written because range boundaries are sampled and would
+    differ in a second evaluation."""
+    by = [group, *order]
+    ranged = df.repartitionByRange(slabs, *by) if slabs else df.repartitionByRange(*by)
+    ranged = materialize(ranged.withColumn("_slab", F.spark_partition_id()), "slabs")
+    whole = Window.partitionBy(group)
+    before = whole.orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(group, "_slab").agg(F.count("*").alias("_rows"))
+    offsets = sizes.select(
+        F.col(group).alias("_group"),
+        F.col("_slab").alias("_of_slab"),
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_rows").over(whole).alias(total),
     )
-    columns = [*df.columns, rank, total]
-    return cold.select(*columns).unionByName(placed.select(*columns))
+    local = F.row_number().over(Window.partitionBy(group, "_slab").orderBy(*order))
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_slab") == F.col("_of_slab"))
+    placed = ranged.withColumn("_local", local).join(offsets, same)
+    return placed.select(*df.columns, (F.col("_local") + F.col("_offset")).alias(rank), total)

@@ -10,8 +10,7 @@ from docwarden.functions.jsontree import config_contains
 from docwarden.functions.text import casefold
 from docwarden.operators.checks import violations
 from docwarden.operators.skew import lookup_join
-
-MAX_DEPTH = 8
+from docwarden.session import materialize
 
 
 @dataclass(frozen=True)
@@ -30,9 +29,10 @@ class Tree:
         return self.nodes.filter("kind = 'folder'")
 
 
-def nodes_from_json(trees: DataFrame, column: str, *, max_depth: int = MAX_DEPTH) -> DataFrame:
+def nodes_from_json(trees: DataFrame, column: str) -> DataFrame:
     """Nested tree documents, one per row, to adjacency rows. ``owner_id`` is the node that holds a
-    row, to be compared with the parent it states."""
+    row, to be compared with the parent it states. Levels are unfolded and written one after another
+    until one is empty."""
     text = lambda v, name: F.try_variant_get(v, f"$.{name}", "string")
     level = trees.select(
         F.lit(None).cast("string").alias("owner_id"),
@@ -41,7 +41,11 @@ def nodes_from_json(trees: DataFrame, column: str, *, max_depth: int = MAX_DEPTH
         ).alias("node"),
     )
     rows = None
-    for _ in range(max_depth):
+    while True:
+        level = materialize(level.select("owner_id", F.to_json("node").alias("node")), "tree-level")
+        if rows is not None and level.isEmpty():
+            return rows
+        level = level.select("owner_id", F.parse_json("node").alias("node"))
         node = F.col("node")
         found = level.select(
             text(node, "id").alias("id"),
@@ -56,38 +60,57 @@ def nodes_from_json(trees: DataFrame, column: str, *, max_depth: int = MAX_DEPTH
             text(node, "id").alias("owner_id"),
             F.explode(F.try_variant_get(node, "$.children", "array<variant>")).alias("node"),
         )
-    return rows
 
 
-def flatten_tree(nodes: DataFrame, *, max_depth: int = MAX_DEPTH) -> Tree:
+def _doubled(climb: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """One round of pointer doubling: a row's ancestor becomes that ancestor's ancestor."""
+    above = climb.select(*[F.col(c).alias(f"_{c}") for c in climb.columns])
+    joined = lookup_join(climb.withColumn("_id", F.coalesce("up", F.concat(F.lit("\u0000"), "id"))), above, ["_id"])
+    kept = F.col("_depth").isNotNull()
+    values = {name: F.when(kept, value).otherwise(F.col(name)) for name, value in sums.items()}
+    return joined.select("id", F.when(kept, F.col("_up")).otherwise(F.col("up")).alias("up"), *[v.alias(n) for n, v in values.items()])
+
+
+def climb_folders(folders: DataFrame) -> DataFrame:
+    """(id, path, depth, problem) of every folder by pointer doubling, about log2(depth) rounds each
+    way. Depths come first: a folder whose ancestors have not ended after as many rounds as double to
+    the number of folders is in a cycle or below one. Only the others get a path."""
+    one = F.min(F.struct("parent_id", "name")).alias("_one")  # repeated ids are a violation of their own
+    folders = folders.groupBy("id").agg(one).select("id", F.col("_one.parent_id").alias("up"), "_one.name")
+    folders = materialize(folders, "tree-folders")
+    known = folders.select(F.col("id").alias("_known")).distinct()
+    state = folders.join(known, F.col("up") == F.col("_known"), "left").select(
+        "id", F.when(F.col("_known").isNotNull(), F.col("up")).alias("up"),
+        F.lit(1).cast("long").alias("depth"), (F.col("up").isNotNull() & F.col("_known").isNull()).alias("lost"), "name",
+    )
+    state = materialize(state, "tree-folders")
+    most = state.count().bit_length() + 1
+    climb, rounds = state.select("id", "up", "depth", "lost"), 0
+    while rounds < most:
+        pending = climb.filter("up IS NOT NULL").count()
+        if not pending:
+            break
+        climb = materialize(_doubled(climb, {"depth": F.col("depth") + F.col("_depth"), "lost": F.col("lost") | F.col("_lost")}), "tree-climb")
+        rounds += 1
+    ended = climb.filter("up IS NULL").select("id", F.col("depth").alias("all_depth"), "lost")
+    paths = state.join(ended.select("id"), "id", "left_semi").select("id", "up", F.col("name").alias("path"), "depth")
+    for _ in range(rounds):
+        paths = materialize(_doubled(paths, {"path": F.concat_ws("/", "_path", "path"), "depth": F.col("depth") + F.col("_depth")}), "tree-paths")
+    return state.select("id", "name").join(ended, "id", "left").join(paths.select("id", "path"), "id", "left").select(
+        "id", F.coalesce("path", "name").alias("path"), F.coalesce("all_depth", F.lit(1)).alias("depth"),
+        F.when(F.col("all_depth").isNull(), "cycle").when(F.col("lost"), "unknown_parent").alias("problem"),
+    )
+
+
+def flatten_tree(nodes: DataFrame) -> Tree:
     """Depth and name path of every node, and the rules a tree breaks.
 
-    Only folders own children, so only the folder table, far smaller than the pages, climbs: one
-    join per level. A folder that has not reached a root after ``max_depth`` steps is part of a
-    cycle or too deep."""
+    Only folders own children, so only the folder table, far smaller than the pages, climbs, as far
+    as the tree is deep."""
     kind = F.lower("kind")
     nodes = nodes.withColumn("kind", kind)
-    folders = nodes.filter("kind = 'folder'").select("id", "parent_id", "name")
-    parents = folders.select(
-        F.col("id").alias("_up"), F.col("parent_id").alias("_next"), F.col("name").alias("_name")
-    )
-    climb = folders.select(
-        "id", F.col("parent_id").alias("_up"), F.col("name").alias("_path"), F.lit(1).alias("_depth")
-    )
-    for _ in range(max_depth - 1):
-        keyed = climb.withColumn("_up", F.coalesce("_up", F.concat(F.lit("\u0000"), "id")))
-        step = lookup_join(keyed, parents, ["_up"], spread=["id"])
-        found = F.col("_name").isNotNull()
-        climb = step.select(
-            "id",
-            F.when(found, F.col("_next"))
-            .when(~F.col("_up").startswith("\u0000"), F.col("_up"))
-            .alias("_up"),
-            F.when(found, F.concat_ws("/", "_name", "_path")).otherwise(F.col("_path")).alias("_path"),
-            (F.col("_depth") + found.cast("int")).alias("_depth"),
-        )
-    placed = climb.select(
-        F.col("id").alias("_folder"), "_path", "_depth", F.col("_up").alias("_unresolved")
+    placed = climb_folders(nodes.filter("kind = 'folder'")).select(
+        F.col("id").alias("_folder"), F.col("path").alias("_path"), F.col("depth").cast("int").alias("_depth"), "problem"
     )
     # A folder looks itself up, a page its parent.
     is_folder = F.col("kind") == "folder"
@@ -97,7 +120,7 @@ def flatten_tree(nodes: DataFrame, *, max_depth: int = MAX_DEPTH) -> Tree:
             F.coalesce("parent_id", F.concat(F.lit("\u0000"), "id"))
         ),
     )
-    joined = lookup_join(at, placed, ["_folder"], spread=["id"])
+    joined = lookup_join(at, placed, ["_folder"])
     flat = joined.select(
         *nodes.columns,
         F.when(is_folder, F.col("_path")).otherwise(F.concat_ws("/", "_path", "name")).alias("path"),
@@ -105,13 +128,13 @@ def flatten_tree(nodes: DataFrame, *, max_depth: int = MAX_DEPTH) -> Tree:
         .otherwise(F.coalesce("_depth", F.lit(0)) + 1)
         .alias("depth"),
         F.col("_depth").isNotNull().alias("_placed"),
-        "_unresolved",
+        "problem",
     )
     rules = _node_rules(nodes)
     rules["unknown_parent"] = (
         ~is_folder & F.col("parent_id").isNotNull() & ~F.col("_placed")
-    )
-    rules["cycle_or_too_deep"] = F.col("_unresolved").isNotNull()
+    ) | (is_folder & F.col("problem").eqNullSafe("unknown_parent"))
+    rules["cycle"] = F.col("problem").eqNullSafe("cycle")
     found = violations(flat, ["id"], rules)
     repeated = (
         nodes.groupBy(casefold(F.col("id")).alias("id"))
@@ -119,7 +142,7 @@ def flatten_tree(nodes: DataFrame, *, max_depth: int = MAX_DEPTH) -> Tree:
         .filter("n > 1")
         .select("id", F.lit("duplicate_id").alias("violation"))
     )
-    return Tree(flat.drop("_placed", "_unresolved"), found.unionByName(repeated))
+    return Tree(flat.drop("_placed", "problem"), found.unionByName(repeated))
 
 
 def _node_rules(nodes: DataFrame) -> dict[str, Column]:
@@ -197,7 +220,7 @@ def reconcile_specs(
         wanted.withColumn("_parent", F.col("parent_id")).withColumn(
             "parent_id", F.coalesce("parent_id", F.concat(F.lit("\u0000"), "name"))
         ),
-        folders, ["parent_id"], spread=["name"],
+        folders, ["parent_id"],
     ).withColumn("parent_id", F.col("_parent"))
     joined = parts.join(first_page, "_key", "left").select(
         *specs.columns, "_known", "_page.page_id", "_page.mental_model_id"
@@ -226,6 +249,7 @@ def reconcile_specs(
     status = (
         F.when(F.col("parent_id").isNotNull() & F.col("_known").isNull(), "unknown_parent")
         .when(F.col("page_id").isNull(), "to_create")
+        .when(F.col("model").isNull(), "inspection_failed")
         .when(~same, "configuration_mismatch")
         .when(F.coalesce(F.trim("body"), F.lit("")) == "", "inspection_failed")
         .otherwise("verified")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,17 +27,32 @@ def build_session(
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder all executors share, as the cluster names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it. Only a local session, which has one
+    machine, gets a temporary folder where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="docwarden-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return f"{shared_folder(spark)}/docwarden-{spark.sparkContext.applicationId}"
+
+
+def drop_run_folder(spark: SparkSession) -> None:
+    """Remove what this application wrote for its own use; its results must have been read by then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several later steps read, so that it is computed once and survives the
-    loss of executors. Without a shared folder the plan is returned unchanged."""
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    loss of executors."""
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -67,15 +67,19 @@ def test_hot_subject_is_ranked_over_many_tasks(spark):
         rows, "source string, target string, type string, evidence string, confidence string"
     ).withColumn("subject", F.col("source")).repartition(6)
     plain = rank_within(subjects, "subject", G.EDGE_ORDER)
-    hot = rank_within(subjects, "subject", G.EDGE_ORDER, hot_rows=500, slabs=6)
+    hot = rank_within(subjects, "subject", G.EDGE_ORDER, slabs=9)
     columns = [*subjects.columns, "rank", "total"]
     assert hot.select(*columns).exceptAll(plain.select(*columns)).count() == 0
     assert hot.count() == 4000
     assert {r[0] for r in hot.filter("subject = 'hub'").agg(F.max("rank")).collect()} == {3000}
+    assert dict(hot.dtypes)["rank"] == dict(plain.dtypes)["rank"] == "bigint"
+    tops = hot.groupBy("subject").agg(F.count("*").alias("n"), F.countDistinct("rank").alias("k"), F.max("rank").alias("top"), F.max("total").alias("total"))
+    assert tops.filter("n <> k OR n <> top OR n <> total").count() == 0
+    assert rank_within(subjects.filter("false"), "subject", G.EDGE_ORDER).count() == 0
 
 
 def test_lookup_join_keeps_every_row(spark):
     left = spark.range(1000).select("id", F.when(F.col("id") < 900, "hot").otherwise("cold").alias("k"))
     right = spark.createDataFrame([("hot", 1)], "k string, v int")
-    got = lookup_join(left, right, ["k"], spread=["id"])
+    got = lookup_join(left, right, ["k"])
     assert got.count() == 1000 and got.filter("v = 1").count() == 900

@@ -6,6 +6,7 @@ import pytest
 from check_oracle import compare, oracle_connection
 
 import __spark_entry__ as entry
+from workloads import registry
 
 SELECTED = (
     "path_classification", "content_rule_hits", "redacted_text", "delta_status", "tag_violations",
@@ -21,7 +22,8 @@ def oracle(sf_dir):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLE)
+    assert set(registry.QUERIES) <= set(entry.queries()) and set(registry.ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", SELECTED)

@@ -134,7 +134,17 @@ def test_tree_from_json(spark):
         ("P1", "parent_ownership"), ("P1", "page_without_model"), ("p1", "duplicate_id")}
     loop = spark.createDataFrame([("a", "b", "folder", "A", None), ("b", "a", "folder", "B", None)],
                                  "id string, parent_id string, kind string, name string, mental_model_id string")
-    assert {r["violation"] for r in T.flatten_tree(loop).violations.collect()} == {"cycle_or_too_deep"}
+    deep = {"id": "d39", "kind": "page", "name": "P", "parent_id": "d38", "mental_model_id": "m"}
+    for i in range(38, -1, -1):
+        deep = {"id": f"d{i}", "kind": "folder", "name": f"n{i}", "children": [deep], **({"parent_id": f"d{i - 1}"} if i else {})}
+    unfolded = T.nodes_from_json(spark.createDataFrame([(json.dumps({"roots": [deep]}),)], "t string"), "t")
+    whole = T.flatten_tree(unfolded)
+    assert whole.violations.count() == 0 and whole.nodes.count() == 40
+    assert whole.nodes.filter("id = 'd39'").first()["path"] == "/".join(f"n{i}" for i in range(39)) + "/P"
+    tail = loop.unionByName(spark.createDataFrame([("c", "a", "folder", "C", None), ("e", "gone", "folder", "E", None), ("f", "e", "folder", "F", None)], loop.schema))
+    assert {tuple(r) for r in T.flatten_tree(tail).violations.collect()} == {
+        ("a", "cycle"), ("b", "cycle"), ("c", "cycle"), ("e", "unknown_parent"), ("f", "unknown_parent")}
+    assert {r["violation"] for r in T.flatten_tree(loop).violations.collect()} == {"cycle"}
 
 
 def test_quality(spark):

@@ -82,25 +82,25 @@ def test_roles(spark):
     assert got["graph/a.md"]["classification"] == got["late.md"]["classification"] == "derived_after_audit"
 
 
-BOOK = ("Intro\n### 2026-09-01 15:50 CEST - Export calendario\r\nBody\r\n\r\n"
+BOOK = ("Intro\n### 2026-09-01 17:20 CEST - Nuovo forno\r\nBody\r\n\r\n"
         "### 2026-01-05 08:00 CEST - Riunione\nText")
 
 
 def test_events(spark):
     first = build(spark, {"LOGBOOK.md": BOOK, "x.md": "x"}, profile=BOOKS)
     got = {r["document_id"]: r for r in first.entries.collect()}
-    key = "kb:acme:event:project-logbook:2026-09-01T15-50:export-calendario"
+    key = "kb:acme:event:project-logbook:2026-09-01T17-20:nuovo-forno"
     assert set(got) == {key, "kb:acme:event:project-logbook:2026-01-05T08-00:riunione",
                         "kb:acme:source:workspace:x.md"}
     event = got[key]
-    assert event["event_timestamp"] == "2026-09-01T15:50:00+02:00"
-    chunk = "### 2026-09-01 15:50 CEST - Export calendario\nBody\n\n"
+    assert event["event_timestamp"] == "2026-09-01T17:20:00+02:00"
+    chunk = "### 2026-09-01 17:20 CEST - Nuovo forno\nBody\n\n"
     assert (event["export_path"], chunk) in rows(first.staged, "export_path", "content")
     assert event["size"] == len(chunk)
     assert event["metadata"]["source_sha256"] == event["source_sha256"]
     assert len(event["metadata"]["container_sha256"]) == 64
     assert first.violations.count() == 0
-    corrected = build(spark, {"LOGBOOK.md": BOOK.replace("Export calendario", "Export agenda")},
+    corrected = build(spark, {"LOGBOOK.md": BOOK.replace("Nuovo forno", "Export agenda")},
                       first.entries, BOOKS)
     moved = {r["document_id"]: r["delta"] for r in corrected.entries.collect()}
     assert moved[key] == "changed" and len(moved) == 2
@@ -109,13 +109,13 @@ def test_events(spark):
 
 
 def test_event_violations(spark):
-    same = "### 2026-09-01 15:50 CEST - A\nx\n"
+    same = "### 2026-09-01 17:20 CEST - A\nx\n"
     cases = {
         same + same: "duplicate_event",
-        "### 2026-09-01 15:50 CEST - ---\n": "heading_without_slug",
+        "### 2026-09-01 17:20 CEST - ---\n": "heading_without_slug",
         "### 2026-03-29 02:30 CEST - Gap\n": "event_timestamp",
         "password: x\n" + same: "event_container_not_safe",
-        "### 2026-13-01 15:50 CEST - A\n": "invalid_event_time",
+        "### 2026-13-01 17:20 CEST - A\n": "invalid_event_time",
     }
     for text, violation in cases.items():
         found = build(spark, {"LOGBOOK.md": text}, profile=BOOKS).violations
@@ -139,7 +139,7 @@ def test_entry_violations(spark):
         "metadata_differs": ("metadata", F.map_filter("metadata", lambda k, _: k != "operator")),
         "metadata_unsafe": ("metadata", F.map_concat("metadata", F.create_map(F.lit("apiToken"), F.lit("x")))),
         "redacted_without_locator": ("classification", F.lit("include_redacted")),
-        "timeless_source": ("event_timestamp", F.lit("2026-09-01T15:50:00+02:00")),
+        "timeless_source": ("event_timestamp", F.lit("2026-09-01T17:20:00+02:00")),
         "relative_path": ("relative_path", F.lit("../a.md")),
     }
     frames = [entries.withColumn(c, F.when(a, v).otherwise(F.col(c))).withColumn("case", F.lit(name))

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docwarden.operators.graph import GraphPolicy
 from docwarden.operators.profile import Profile
-from docwarden.sources.corpus import spread_input
 
 PROFILE = Profile(
     project_slug="acme", operator="alice", scope="wiki", topics=("topic:reports",)
@@ -112,7 +111,7 @@ def sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    documents = spread_input(table(spark, sf_dir, "documents"), "doc_id")
+    documents = table(spark, sf_dir, "documents")
     return spark.sql(corpus_sql(side, spark_sha, "{documents}"), documents=documents)
 
 

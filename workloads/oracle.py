@@ -8,7 +8,15 @@ from workloads import inputs as I
 SHA = I.oracle_sha
 
 _WORDS = "regexp_replace(lower(regexp_replace(p, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+', ' ', 'g')"
-_SAFE = "(^| )(policy|policies|guidelines?|templates?|examples?|samples?)( |$)"
+# Words that make a path harmless, and endings of binary files and dumps.
+SAFE_WORDS = (
+    "policy", "policies", "guideline", "guidelines", "template", "templates", "example", "examples", "sample", "samples",
+)
+BINARY_ENDINGS = (
+    "sql", "dump", "sqlite", "sqlite3", "pdf", "doc", "docx", "xls", "xlsx", "zip", "gz", "tar", "png", "jpg", "jpeg", "gif",
+    "ico", "woff", "woff2", "ttf", "mp3", "mp4",
+)
+_SAFE = f"(^| )({'|'.join(SAFE_WORDS)})( |$)"
 
 PATH_RULE = f"""
   CASE
@@ -25,7 +33,7 @@ PATH_RULE = f"""
          ['uploads', 'upload', 'generated', 'generated-documents', 'payroll', 'medical', 'health',
           'customers', 'customer-data', 'database', 'dumps', 'dump'])
       THEN 'path_sensitive_or_generated_data'
-    WHEN regexp_matches(lower(parts[-1]), '\\.(sql|dump|sqlite3?|pdf|docx?|xlsx?|zip|gz|tar|png|jpe?g|gif|ico|woff2?|ttf|mp[34])$')
+    WHEN regexp_matches(lower(parts[-1]), '\\.({'|'.join(BINARY_ENDINGS)})$')
       THEN 'path_binary_or_dump_candidate'
   END"""
 

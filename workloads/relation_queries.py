@@ -9,7 +9,6 @@ from docwarden.functions.text import ascii_slug
 from docwarden.operators import audit as A, graph as G, quality as Q, registry as R, tree as T
 from docwarden.operators.validation import validate_profiles
 from docwarden.plans.capsules import graph_capsules
-from docwarden.sources.corpus import spread_input
 from docwarden.streaming import jobs as S
 from workloads import inputs as I, oracle as O
 from workloads.registry import query
@@ -57,9 +56,9 @@ def capsules(spark, d):
 )
 def stale_capsules(spark, d):
     """Inventory at the default size against one made with smaller capsules."""
-    subjects = G.edge_subjects(I.nodes(spark, d), edges(spark, d))
-    now = G.render_capsules(G.chunk_edges(subjects), I.POLICY)
-    before = G.render_capsules(G.chunk_edges(subjects, 6), I.POLICY)
+    ranked = G.number_edges(G.edge_subjects(I.nodes(spark, d), edges(spark, d)))
+    now = G.render_capsules(G.cut_edges(ranked), I.POLICY)
+    before = G.render_capsules(G.cut_edges(ranked, 6), I.POLICY)
     return G.capsule_inventory(now, before).select("document_id", "status")
 
 
@@ -429,7 +428,8 @@ OUTCOMES = f"""WITH f AS (SELECT DISTINCT operation_id, phase, ts FROM ({O.FEED}
   o AS (SELECT s.operation_id, s.ts AS start_ts, t.ts AS end_ts, coalesce(t.phase, 'timed_out') AS outcome
     FROM f s LEFT JOIN f t ON s.operation_id = t.operation_id AND t.phase IN {_ENDS}
       AND t.ts BETWEEN s.ts AND s.ts + INTERVAL 7200 SECONDS
-    WHERE s.phase = 'intended')"""
+    WHERE s.phase = 'intended'
+    QUALIFY row_number() OVER (PARTITION BY s.operation_id, s.ts ORDER BY t.ts NULLS LAST, t.phase) = 1)"""
 
 
 def outcome_columns(df: DataFrame) -> DataFrame:
@@ -458,7 +458,7 @@ DIAGNOSTICS = """SELECT event_id, to_json(named_struct('tokenBudget', event_id,
         || ',"note":"<redacted>"},"tokenBudget":' || event_id || '}' AS diagnostic FROM events""",
 )
 def metadata_sanitized(spark, d):
-    events = spread_input(I.table(spark, d, "events"), "event_id")
+    events = I.table(spark, d, "events")
     rows = spark.sql(DIAGNOSTICS, events=events)
     return rows.select("event_id", jsontree.sanitize_json(F.col("diagnostic")).alias("diagnostic"))
 
@@ -466,17 +466,21 @@ def metadata_sanitized(spark, d):
 @query(
     "secret_scan",
     """SELECT event_id, 'secret' AS violation FROM events WHERE event_type IN ('error', 'purchase')
-      UNION ALL SELECT event_id, 'too_deep' FROM events WHERE event_type = 'signup'""",
+      UNION ALL SELECT event_id, 'secret' FROM events WHERE event_type = 'signup' OR event_type = 'click' AND event_id % 4 IN (1, 2)
+      UNION ALL SELECT event_id, 'not_an_object' FROM events WHERE event_type = 'click' AND event_id % 4 = 0""",
 )
 def secret_scan(spark, d):
-    nested = "repeat('{\"a\":', 8) || '1' || repeat('}', 8)"
+    nested = "repeat('{\"a\":', 20) || '{\"password\":\"x\"}' || repeat('}', 20)"
     rows = I.table(spark, d, "events").select(
         "event_id",
         F.expr(
             f"""CASE event_type
               WHEN 'error' THEN '{{"run": {{"list": [{{"api_key": "x"}}]}}}}'
               WHEN 'purchase' THEN '{{"note": "password: p' || event_id || '"}}'
-              WHEN 'signup' THEN {nested} ELSE props END"""
+              WHEN 'signup' THEN {nested}
+              WHEN 'click' THEN CASE event_id % 4 WHEN 0 THEN '[' || event_id || ']' WHEN 1 THEN '{{"a": 1, "a": {{"password": "x"}}}}'
+                WHEN 2 THEN 'password: p' || event_id ELSE props END
+              ELSE props END"""
         ).alias("event"),
     )
     return A.reject_secrets(rows, key="event_id", json="event")
@@ -648,7 +652,7 @@ def stream_dedup(spark, d):
 def stream_outcomes(spark, d):
     """Starts whose deadline the watermark has passed; the last ones stay open in the stream."""
     out = S.stream_outcomes(feed_stream(spark, d), feed_stream(spark, d), deadline_seconds=7200)
-    return outcome_columns(run_stream(out))
+    return outcome_columns(A.first_outcomes(run_stream(out)))
 
 
 @query(

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docwarden.session import shared_folder
+from docwarden.session import run_folder
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """Below the cluster's shared folder; a temporary one only where none is set, as in tests."""
-    base = shared_folder(spark) or tempfile.mkdtemp(prefix="docwarden-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Below this application's part of the cluster's shared folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def run_stream(stream: DataFrame) -> DataFrame:
