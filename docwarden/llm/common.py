@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from docwarden.session import run_folder
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -23,12 +24,8 @@ ASCII_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the one the cluster shares; a temporary one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one the cluster shares."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

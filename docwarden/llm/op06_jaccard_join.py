@@ -418,6 +418,21 @@ def drop_near_duplicates(docs: DataFrame, min_shared: int = MIN_SHARED, width: i
     return matching_rows(docs, durable(kept, "op6-kept"))
 
 
-@query("op6_jaccard_join")
+@query("op6_jaccard_join", oracle=r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS words FROM documents),
+    s AS MATERIALIZED (
+        SELECT doc_id, unnest(CASE WHEN len(words) >= 4
+            THEN list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')))
+            WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    d AS MATERIALIZED (SELECT * FROM s WHERE shingle IN (SELECT shingle FROM s GROUP BY shingle HAVING count(*) > 1)),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM d a JOIN d b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+    r AS (SELECT doc_id, doc_id AS near FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.near = l.a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+    FROM (SELECT doc_id, min(near) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)
+""")
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
