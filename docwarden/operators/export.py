@@ -13,6 +13,7 @@ from docwarden.operators.checks import violations
 from docwarden.operators.entries import eligible
 from docwarden.operators.preflight import preflight
 from docwarden.operators.validation import metadata_is_unsafe, tag_of, tag_prefix
+from docwarden.operators.skew import rank_within
 
 ITEM_COLUMNS = [
     "content", "context", "timestamp", "document_id", "tags", "metadata", "observation_scopes",
@@ -187,25 +188,41 @@ def batch_totals(items: DataFrame) -> DataFrame:
 
 
 def reconcile_approval(approved: DataFrame, actual: DataFrame) -> DataFrame:
-    """Ids that differ between an approval and what is about to be sent.
+    """Ids that differ between an approval and what is about to be sent, or that it lists twice.
 
     Both sides have document_id and, if the order counts, position."""
     ordered = "position" in approved.columns and "position" in actual.columns
-    pick = lambda df, name: df.select(
-        "document_id",
-        F.lit(True).alias(f"in_{name}"),
-        (F.col("position") if ordered else F.lit(None).cast("bigint")).alias(f"{name}_position"),
+    place = F.min("position") if ordered else F.lit(None).cast("bigint")
+    pick = lambda df, name: df.groupBy("document_id").agg(
+        F.count("*").alias(f"in_{name}"), place.alias(f"{name}_position")
     )
     both = pick(approved, "approved").join(pick(actual, "actual"), "document_id", "full_outer")
     status = (
         F.when(F.col("in_approved").isNull(), "extra")
         .when(F.col("in_actual").isNull(), "missing")
+        .when((F.col("in_approved") > 1) | (F.col("in_actual") > 1), "repeated")
         .when(F.col("approved_position") != F.col("actual_position"), "out_of_order")
         .otherwise("matched")
     )
     return both.select("document_id", status.alias("status"))
 
 
+def batch_positions(items: DataFrame) -> DataFrame:
+    """(document_id, position): snapshot items before derived ones, each in id order, from 1."""
+    whole = items.select("document_id", "section", F.lit(0).alias("_batch"))
+    return rank_within(whole, "_batch", ["section", "document_id"], rank="position").select("document_id", "position")
+
+
+def total_violations(items: DataFrame, *, item_count: int, total_bytes: int) -> DataFrame:
+    """One row without id for each total that the approval states otherwise."""
+    totals = batch_totals(items)
+    names = F.array(
+        F.when(F.col("item_count") != item_count, "item_count_differs"),
+        F.when(F.col("total_bytes") != total_bytes, "total_bytes_differ"),
+    )
+    return totals.select(F.lit(None).cast("string").alias("document_id"), F.explode(F.array_compact(names)).alias("violation"))
+
+
 def reconcile_totals(items: DataFrame, *, item_count: int, total_bytes: int) -> DataFrame:
     totals = batch_totals(items)
     matches = (F.col("item_count") == item_count) & (F.col("total_bytes") == total_bytes)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -42,6 +43,8 @@ class GraphPolicy:
             tag_component(getattr(self, label), label)
         if isinstance(self.max_edges, bool) or self.max_edges <= 0:
             raise ValueError("max_edges must be a positive integer")
+        if self.generated_at and not re.search(r"T.*(?:Z|[+-]\d\d:\d\d)\Z", self.generated_at):
+            raise ValueError("generated_at needs a time with an offset")
         if not self.coverage_note.strip() or not self.included_path_prefixes:
             raise ValueError("a coverage note and included path prefixes are required")
 
@@ -61,6 +64,22 @@ def incomplete_edges(edges: DataFrame) -> DataFrame:
     return edges.filter(blank)
 
 
+def incomplete_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes without id, type or label."""
+    blank = F.lit(False)
+    for name in ("id", "type", "label"):
+        blank |= F.coalesce(F.col(name) == "", F.lit(True))
+    return nodes.filter(blank)
+
+
+def empty_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row without id if there are no nodes or no edges."""
+    some = lambda df: df.limit(1).agg(F.count("*").alias("n"))
+    return some(nodes).unionByName(some(edges)).agg(F.min("n").alias("n")).filter("n = 0").select(
+        F.lit(None).cast("string").alias("id"), F.lit("empty_graph").alias("violation")
+    )
+
+
 def edge_integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Endpoints that are no node, with the number of edge ends. Endpoints are counted before the
     join, so a hub costs one row."""

@@ -77,7 +77,7 @@ def checkpoint_runs(runs: DataFrame, *, key: str = "project") -> DataFrame:
 
 
 def document_summary(documents: DataFrame) -> DataFrame:
-    """Whitelisted columns, JSON ones sanitised; a row without an id is a violation."""
+    """Whitelisted columns, JSON ones sanitised; ``summary_violations`` reports rows without an id."""
     columns = [c for c in vocab.SUMMARY_COLUMNS if c in documents.columns]
     types = dict(documents.dtypes)
     clean = lambda c: (
@@ -88,17 +88,23 @@ def document_summary(documents: DataFrame) -> DataFrame:
     return documents.select(*[clean(c) for c in columns])
 
 
+def summary_violations(documents: DataFrame) -> DataFrame:
+    """One row for every document without an id."""
+    return documents.filter(F.coalesce(F.col("id") == "", F.lit(True))).select("id", F.lit("id_missing").alias("violation"))
+
+
 def page_documents(
-    documents: DataFrame, *, limit: int = vocab.PAGE_LIMIT, offset: int = 0, after: str | None = None
+    documents: DataFrame, *, limit: int = vocab.PAGE_LIMIT, offset: int = 0, after: str | None = None, with_total: bool = True
 ) -> DataFrame:
     """One page of summaries in id order with total, limit and offset.
 
-    For pages far into a large table pass the last id as ``after`` instead of a deep offset."""
+    For pages far into a large table pass the last id as ``after`` instead of a deep offset, and
+    leave the total, which counts the table, to the first page."""
     if isinstance(limit, bool) or not 1 <= limit <= vocab.PAGE_LIMIT:
         raise ValueError(f"the page limit is between 1 and {vocab.PAGE_LIMIT}")
     if isinstance(offset, bool) or offset < 0:
         raise ValueError("the page offset must not be negative")
-    total: Column = documents.agg(F.count("*")).scalar()
+    total: Column = documents.agg(F.count("*")).scalar() if with_total else F.lit(None).cast("bigint")
     rows = document_summary(documents)
     if after is not None:
         rows = rows.filter(F.col("id") > after)

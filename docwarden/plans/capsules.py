@@ -29,10 +29,14 @@ def graph_capsules(
     )
     found = (
         G.path_policy(nodes, policy)
+        .unionByName(tag(G.incomplete_nodes(nodes), "id", "incomplete_node"))
+        .unionByName(G.empty_graph(nodes, edges))
         .unionByName(tag(G.duplicate_nodes(nodes), "id", "duplicate_node"))
         .unionByName(tag(G.duplicate_edges(edges), "source", "duplicate_edge"))
         .unionByName(tag(G.incomplete_edges(edges), "source", "incomplete_edge"))
         .unionByName(tag(G.edge_integrity(nodes, edges), "id", "unknown_node"))
     )
     chunks = G.chunk_edges(G.edge_subjects(nodes, edges, policy.subject_types), policy.max_edges)
-    return Capsules(G.render_capsules(chunks, policy), found)
+    capsules = G.render_capsules(chunks, policy)
+    found = found.unionByName(tag(G.duplicates(capsules, ["document_id"]), "document_id", "duplicate_capsule"))
+    return Capsules(capsules, found)

@@ -35,9 +35,11 @@ def export_batch(
     derived: DataFrame | None = None,
     profile: Profile | None = None,
     roles: DataFrame | None = None,
+    approved_totals: tuple[int, int] | None = None,
 ) -> ExportBatch:
     """With the reviewed ``profile`` the credential policy of every entry must be the one the
-    profile gives its path."""
+    profile gives its path. ``approved`` has document_id and, if the approval fixes the order,
+    position from 1; ``approved_totals`` is its number of items and of UTF-8 bytes."""
     tag = lambda df, name: df.select("document_id", F.lit(name).alias("violation"))
     hashes = provenance.corpus_hashes(corpus)
     staged_hashes = staged.select("export_path", F.sha2("content", 256).alias("sha256"))
@@ -76,9 +78,13 @@ def export_batch(
     collisions = export.id_collisions(batch).select(
         F.col("folded_id").alias("document_id"), F.lit("id_collision").alias("violation")
     )
+    if approved_totals is not None:
+        count, size = approved_totals
+        found = found.unionByName(export.total_violations(batch, item_count=count, total_bytes=size))
+    actual = export.batch_positions(batch) if "position" in approved.columns else batch.select("document_id")
     return ExportBatch(
         batch,
-        export.reconcile_approval(approved, batch.select("document_id")),
+        export.reconcile_approval(approved, actual),
         export.batch_totals(batch),
         found.unionByName(collisions),
     )

@@ -613,6 +613,31 @@ def export_batch_approval(spark, d):
     return batch.approval.groupBy("status").agg(F.count("*").alias("ids"))
 
 
+@query(
+    "export_batch_order",
+    f"""{O.BOTH}, due AS (SELECT document_id, row_number() OVER (ORDER BY document_id) AS position {_DUE}),
+      a AS (SELECT document_id, position + CASE WHEN position % 10 = 3 THEN 1 ELSE 0 END AS position FROM due WHERE position % 10 <> 7
+        UNION ALL SELECT document_id, position FROM due WHERE position % 10 = 5)
+      SELECT document_id, CASE WHEN a.document_id IS NULL THEN 'extra' WHEN n > 1 THEN 'repeated'
+          WHEN a.position <> due.position THEN 'out_of_order' ELSE 'matched' END AS status
+      FROM due LEFT JOIN (SELECT document_id, min(position) AS position, count(*) AS n FROM a GROUP BY document_id) a USING (document_id)
+      UNION ALL SELECT 'total', 'item_count_differs' UNION ALL SELECT 'total', 'total_bytes_differ'""",
+)
+def export_batch_order(spark, d):
+    """An approval that shifts, leaves out and repeats ids and states other totals."""
+    snap = snapshot(spark, d)
+    due = E.eligible(snap.entries).select("document_id").withColumn("section", F.lit(0))
+    right = export.batch_positions(due)
+    at = F.col("position")
+    shifted = right.filter(at % 10 != 7).withColumn("position", at + F.when(at % 10 == 3, 1).otherwise(0))
+    batch = export_batch(
+        snap.entries, I.corpus(spark, d, "cur"), snap.staged, shifted.unionByName(right.filter(at % 10 == 5)),
+        project="acme", operator="alice", exported_at="2026-09-02T08:00:00+00:00", run_id="run-1", approved_totals=(-1, -1),
+    )
+    totals = batch.violations.select(F.coalesce("document_id", F.lit("total")).alias("document_id"), F.col("violation").alias("status"))
+    return batch.approval.unionByName(totals)
+
+
 @query(
     "export_batch_violations",
     f"""{O.BOTH} SELECT document_id, 'bytes_differ_from_snapshot' AS violation FROM entries WHERE exported_sha256 IS NOT NULL

@@ -48,6 +48,21 @@ def capsules(spark, d):
     )
 
 
+@query(
+    "graph_violations",
+    """SELECT 'customer:' || c_custkey AS id, 'incomplete_node' AS violation FROM customer WHERE c_custkey % 5 = 0
+      UNION ALL SELECT 'customer:' || c_custkey, 'duplicate_node' FROM customer WHERE c_custkey % 7 = 0""",
+)
+def graph_violations(spark, d):
+    """Nodes without a label and repeated nodes among sound ones; edges and capsules have no fault."""
+    key = F.regexp_extract("id", "^customer:([0-9]+)$", 1).try_cast("bigint")
+    nodes = I.nodes(spark, d).withColumn("label", F.when(F.coalesce(key % 5 == 0, F.lit(False)), "").otherwise(F.col("label")))
+    again = I.nodes(spark, d).filter(F.coalesce(key % 7 == 0, F.lit(False)))
+    twice = nodes.unionByName(again.withColumn("label", F.lit("again")))
+    found = graph_capsules(twice, edges(spark, d), I.POLICY, audit_status="passed").violations
+    return found.filter("violation <> 'duplicate_edge'").select("id", "violation")
+
+
 @query(
     "stale_capsules",
     f"""WITH {O.SUBJECTS}, {O.capsules(6)}, {O.capsules(12)}
