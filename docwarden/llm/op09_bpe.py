@@ -19,8 +19,10 @@ import json
 import re
 import struct
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwarden.llm.common import blocks, documents, query
 
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 #: Encoded pre-tokens a task remembers from block to block; beyond it the memory starts anew.
 
 # The pre-tokenizer's pattern and the white space of the normaliser.
@@ -195,9 +197,8 @@ class WordBpe:
         masked = "".join("\uffff" if unknown(c) else c for c in chunk)
         return [chunk[m.start() : m.end()] for m in PIECES.finditer(masked)]
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode the chunks that are not known yet, all together."""
-        new = [chunk for chunk in chunks if chunk not in self.known]
+    def learn(self, new: list[str]) -> None:
+        """Encode chunks that are not known yet, all together."""
         pieces = [self._pieces(chunk) for chunk in new]
         distinct = list({piece for part in pieces for piece in part})
         encoded = dict(zip(distinct, self.index.encode([self._symbols(p) for p in distinct]), strict=True))
@@ -206,17 +207,26 @@ class WordBpe:
             self.known[chunk] = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids])
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text, of each text."""
+        """Ids as little-endian unsigned 32-bit integers, and the decoded text, of each text. Chunks
+        that occur once in the texts are forgotten afterwards."""
         chunked = [self.chunks(text) for text in texts]
         if len(self.known) > KNOWN_WORDS:
-            self.known = dict(list(self.known.items())[: self.fixed])
-        self.learn({chunk for chunks in chunked for chunk in chunks})
+            self.forget()
+        counts = Counter(chain.from_iterable(chunked))
+        new = [chunk for chunk in counts if chunk not in self.known]
+        self.learn(new)
         out = []
         for chunks in chunked:
             found = [self.known[chunk] for chunk in chunks]
             out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])))
+        for chunk in new:
+            if counts[chunk] == 1:
+                del self.known[chunk]
         return out
 
+    def forget(self) -> None:
+        self.known = dict(list(self.known.items())[: self.fixed])
+
     def decode(self, ids: bytes) -> str:
         """The file names no decoder: symbols, one blank between them."""
         return " ".join([self.names[i] for (i,) in struct.iter_unpack("<I", ids)])
@@ -276,8 +286,11 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, str]]]]:
     model = tokenizer(path)
-    for block in blocks(batches, "text", 8 << 20):
-        yield block, model.encode(block.column(1).to_pylist())
+    try:
+        for block in blocks(batches, "text", 2 << 20):
+            yield block, model.encode(block.column(1).to_pylist())
+    finally:
+        model.forget()  # the worker process lives on
 
 
 @query("op9_bpe")
