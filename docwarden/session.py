@@ -32,7 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
     machine, gets a temporary folder where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="docwarden-")
         spark.conf.set("spark.checkpoint.dir", named)
