@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Whole texts a task looks at in one step; a longer text is a block of its own.
 
 ASCII_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
