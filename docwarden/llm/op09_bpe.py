@@ -191,6 +191,10 @@ class WordBpe:
 
     @staticmethod
     def _pieces(chunk: str) -> list[str]:
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+            return [chunk[:-1], chunk[-1]]
         if chunk.isascii() or not any(map(unknown, chunk)):
             return PIECES.findall(chunk)
         # The pattern library may know newer letters than the tokenizer's Unicode version has.
@@ -286,11 +290,8 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, str]]]]:
     model = tokenizer(path)
-    try:
-        for block in blocks(batches, "text", 2 << 20):
-            yield block, model.encode(block.column(1).to_pylist())
-    finally:
-        model.forget()  # the worker process lives on
+    for block in blocks(batches, "text", 4 << 20):
+        yield block, model.encode(block.column(1).to_pylist())
 
 
 @query("op9_bpe")
