@@ -151,6 +151,30 @@ def test_rates_of_a_known_problem(spark):
     assert abs(rates[1.0, 0.0] - 5 / 9) < 1e-3 and abs(rates[0.0, 1.0] - 5) < 1e-2 and len(steps) > 15
 
 
+def test_rates_of_scarce_domains(spark):
+    """Shares of 86.8, 0.2 and 13 %: plain steps would leave the junk at half its target."""
+    rows = [(868, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (130, [0.0, 0.0, 1.0])]
+    table = spark.createDataFrame(rows, "n_tokens long, p array<double>")
+    rated, steps = op08_mixing.fit_rates(table, {"clean": 0.9, "junk": 0.06, "toxic": 0.04})
+    for r in rated.collect():
+        target = 1000 * sum(x * y for x, y in zip(r.p, (0.9, 0.06, 0.04)))
+        assert abs(r.n_tokens * r.rate / target - 1) < op08_mixing.TOLERANCE
+        rate = 1.0
+        for step in steps:
+            rate = max(0.0, rate - float(step @ r.p))
+        assert abs(rate - r.rate) < 1e-9 * r.rate
+
+
+def test_targets_out_of_reach_end_at_least_squares(spark):
+    """Only the first kind is used: S = R (0.6, 0.4) with R = 1 / (0.36 / 0.1 + 0.16 / 0.9)."""
+    table = spark.createDataFrame([(30, [0.6, 0.4]), (70, [0.8, 0.2])], "n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="least-squares optimum.* a [+]58.*b -88"):
+        rated, _ = op08_mixing.fit_rates(table, {"a": 0.1, "b": 0.9})
+    rows, best = rated.collect(), 1 / (0.36 / 0.1 + 0.16 / 0.9)
+    for place, target in ((0, 0.1), (1, 0.9)):
+        assert abs(sum(r.n_tokens * r.rate * r.p[place] for r in rows) / 100 - best * (0.6, 0.4)[place]) < op08_mixing.TOLERANCE * target
+
+
 def test_mixing_repeats_whole_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("rate", F.lit("mine"))
     domains = op08_mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))

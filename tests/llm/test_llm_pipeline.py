@@ -58,6 +58,18 @@ def test_mixing_stage(spark, sf_dir, stages):
     assert collections.Counter(r.doc_id for r in stages[4].select("doc_id").collect()) == expected
 
 
+def test_mixing_of_its_own_input_meets_targets_or_least_squares(spark, sf_dir, stages):
+    """Rates are a least-squares optimum when no document could lower the squares (p . off >= 0), and
+    none with a rate could by losing it (p . off = 0); the sums are within the tolerance of one."""
+    rates = op08_mixing.mixing_rates(stages[3], op08_mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))).toPandas()
+    share = rates.n_tokens / rates.n_tokens.sum()
+    off = {name: (rates.rate * share * rates[f"p_{name}"]).sum() / weight - 1 for name, weight in op08_mixing.TARGETS.items()}
+    if max(map(abs, off.values())) >= op08_mixing.TOLERANCE:
+        slope = sum(rates[f"p_{name}"] * value for name, value in off.items())
+        assert slope[rates.n_tokens > 0].min() > -2 * op08_mixing.TOLERANCE
+        assert abs((rates.rate * share * slope).sum()) < 2 * op08_mixing.TOLERANCE
+
+
 def test_encoding_stage(stages):
     expected = collections.Counter((r.doc_id, r.n_tokens) for r in op09_bpe.bpe_digests(stages[4]).collect())
     assert collections.Counter((r.doc_id, len(r.ids)) for r in stages[5].collect()) == expected
