@@ -13,6 +13,7 @@ from docwarden.llm import (  # noqa: F401
     op08_mixing,
     op09_bpe,
     op10_quality_gam,
+    op12_id_store,
 )
 from docwarden.llm.common import ORACLE, QUERIES
 
