@@ -14,6 +14,7 @@ from docwarden.llm import (  # noqa: F401
     op09_bpe,
     op10_quality_gam,
     op12_id_store,
+    op13_burst_trie,
 )
 from docwarden.llm.common import ORACLE, QUERIES
 
