@@ -13,6 +13,7 @@ from docwarden.llm import (  # noqa: F401
     op08_mixing,
     op09_bpe,
     op10_quality_gam,
+    op11_hard_negatives,
     op12_id_store,
     op13_burst_trie,
 )
