@@ -142,16 +142,21 @@ def _common(a: str, b: str) -> Column:
     return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same).cast("long"))
 
 
+def under_root(sequences: DataFrame) -> DataFrame:
+    root = {"above": F.lit(None).cast("string"), "above_least": F.lit(None).cast("long"), "start": F.lit(0).cast("long"), "turn": F.lit("")}
+    return sequences.withColumns(root)
+
+
 def burst(sequences: DataFrame, container: int = CONTAINER) -> Burst:
-    """Burst containers by next turn id until none holds more than ``container`` sequences.
+    """Burst containers by next turn id until none holds more than ``container`` sequences. ``sequences``
+    all have the root's ``above``, ``above_least``, ``start`` and ``turn``, as :func:`under_root` adds them.
 
     A path (one per burst container): ``path`` (digest of its prefix), ``above`` (the path it hangs on,
     null for the root's), ``from_depth`` to ``depth`` (its nodes), ``words`` of those nodes, n, least, ends (of
     a sequence that ends there), n_children, above_least. A settled row: a sequence with its container
     (``above``, next turn id ``turn``), the depth ``start`` of the container's top and above_least."""
     out = Burst()
-    start = F.lit(0).cast("long")
-    open_ = sequences.withColumns({"above": F.lit(None).cast("string"), "above_least": F.lit(None).cast("long"), "start": start, "turn": F.lit("")})
+    open_ = sequences
     while True:
         heads = open_.groupBy("above", "turn").agg(
             F.count("*").alias("rows"), F.min("ids").alias("low"), F.max("ids").alias("high"),
@@ -300,7 +305,7 @@ def trie_nodes(conversations: DataFrame, container: int = CONTAINER) -> DataFram
     ordered by their digest, so rows that are repeated stand next to each other and are turns each. A
     rebuilt conversation without turns ends at the root. An empty table has no nodes, not even a root."""
     spark = conversations.sparkSession
-    sequences = durable(distinct_sequences(rebuilt(durable(turn_sequences(conversations), "op13-turns"))), "op13-sequences")
+    sequences = durable(under_root(distinct_sequences(rebuilt(durable(turn_sequences(conversations), "op13-turns")))), "op13-sequences")
     if sequences.isEmpty():
         return spark.createDataFrame([], NODE)
     found = burst(sequences, container)
