@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -68,6 +69,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+BATCH_BYTES = 8 << 20
+#: What Spark hands a worker at once; a longer row is a batch of its own.
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set the session's bound on Arrow batches, for stages that hold whole texts in their workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give memory that a worker has freed back to the machine: workers outlive their tasks, and the
+    allocators would keep the largest block's pages for the next one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows whose values of ``column`` hold at most ``limit`` bytes, or of
     one row. Every row comes out once, in order."""
@@ -81,6 +100,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

@@ -32,14 +32,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docwarden.llm.common import ASCII_LOWER, blocks, documents, durable, inside_table, joined, matching_rows, mix, query, span_hashes, spans, text_bytes
+from docwarden.llm.common import ASCII_LOWER, blocks, bound_batches, documents, durable, inside_table, joined, matching_rows, mix, query, span_hashes, spans, text_bytes
 from docwarden.llm.components import connected_components
 
 MIN_SHARED = 85
 SHINGLE_WORDS = 4
 PUBLISHED = np.uint64(int(0.4 * 2**64))
 #: Shingles with a smaller hash are published and counted.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
+HELD_SHINGLES = 500_000
+#: What a task gathers before it writes: 16 bytes each, and as much again four times while they are packed.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 400_000
 #: A block's bounds; a larger document takes more than the second alone.
 FANOUT = 8
@@ -239,7 +241,7 @@ def _publish(n_buckets: int, width: int):
                     seen.add(name)
                     tokens.append(values[:k]), classes.append(np.full(k, name, dtype=np.int64))
                     held += k
-            if held > 4_000_000:
+            if held > HELD_SHINGLES:
                 yield packed(tokens, classes)
                 tokens, classes, held = [], [], 0
         if held:
@@ -395,6 +397,7 @@ def jaccard_components(docs: DataFrame, min_shared: int = MIN_SHARED, width: int
     the component has an id. A null or empty text, or one of white space, has no shingles and is linked
     with nothing. ``kept`` marks one row per component, that of the smallest id (null last). Rows that
     repeat an id and a text are one component, and all are marked alike. An empty table gives no rows."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
     described = durable(
         docs.mapInArrow(_describe(min_shared, width), "doc_id long, text_hash long, n long, class long, published long, extra array<long>"), "op6-described"

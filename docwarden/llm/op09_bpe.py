@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docwarden.llm.common import blocks, documents, query
+from docwarden.llm.common import blocks, bound_batches, documents, query
 
 KNOWN_WORDS = 150_000
 #: Encoded pre-tokens a task remembers from block to block; beyond it the memory starts anew.
@@ -285,6 +285,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def _plain(docs: DataFrame) -> DataFrame:
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docwarden.llm.common import blocks, documents, durable, inside_table, joined, query, span_hashes, spans, text_bytes
+from docwarden.llm.common import blocks, bound_batches, documents, durable, inside_table, joined, query, span_hashes, spans, text_bytes
 
 SAMPLE_ROWS = 20_000
 #: Bound of the labelled rows a model is fitted to.
@@ -236,6 +236,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with a score of at least ``threshold``, with all their columns."""
+    bound_batches(docs.sparkSession)
     model = fit_quality(durable(feature_table(docs), "op10-features"), labels)
     place = docs.columns.index("text")
 
