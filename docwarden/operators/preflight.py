@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from docwarden.functions import rewrite, secrets
 from docwarden.functions.fence import fence
 from docwarden.functions.paths import classify_path, is_env_template
+from docwarden.operators.rules import apply_rules
 
 FINDINGS = "array<struct<line:int,rule:string,disposition:string>>"
 
@@ -46,12 +47,14 @@ def preflight(
     path: str = "relative_path",
     content: str = "content",
     policy: str | Column | None = None,
+    rules: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``decision``, ``exported_text`` and ``findings`` to a table of documents.
 
     ``content`` is text or binary; binary content with a NUL byte or that is not UTF-8 is blocked.
     ``policy`` is a column with the credential policy of each row (default ``exclude``); with
-    ``allow_project_staging`` credentials are reported but the text is kept."""
+    ``allow_project_staging`` credentials are reported but the text is kept. ``rules`` are further rules as
+    rows (see :mod:`docwarden.operators.rules`); without them there is no shuffle."""
     if policy is None:
         policy = F.lit("exclude")
     elif isinstance(policy, str):
@@ -239,7 +242,8 @@ def preflight(
             F.col("decision") == "safe", text
         ),
     )
-    return fence(df, documents.columns, ["decision", "exported_text", "findings"])
+    scanned = fence(df, documents.columns, ["decision", "exported_text", "findings"])
+    return scanned if rules is None else apply_rules(scanned, rules, path=path, policy=policy)
 
 
 def _marked_lines(parts: Column, marked: Column) -> Column:

@@ -83,6 +83,35 @@ def corpus_sql(side: str, sha, table: str = "documents") -> str:
     )
 
 
+# Rules of the user's own, one row each: nations name keys, parts name tokens, sources name folders.
+RULES = """
+  SELECT 'key_' || cast(n_nationkey as string) AS rule, 'key' AS kind, n_name || ' vault' AS words, cast(null as string) AS pattern FROM {nation}
+  UNION ALL SELECT 'token_' || cast(p_partkey as string), 'shape', 'pk' || cast(p_partkey as string),
+    '^pk' || cast(p_partkey as string) || '-[0-9a-f]+$' FROM {part}
+  UNION ALL SELECT 'folder_' || source, 'path', source || ' vault', cast(null as string) FROM {documents} WHERE source IS NOT NULL GROUP BY source"""
+
+
+def ruled_corpus_sql(sha, table: str = "documents") -> str:
+    """The current corpus with lines and folders that the rules are about, and some that only look so."""
+    digest = sha(f"'r' || {ID}")
+    part, nation = "cast(doc_id % 200 as string)", "cast(doc_id % 25 as string)"
+    return f"""SELECT doc_id, CASE WHEN doc_id % 53 = 2 THEN 'teams/' || source || '-vault/' || {ID} || '.md'
+        WHEN doc_id % 53 = 3 THEN 'teams/' || source || '/vault/' || {ID} || '.md' ELSE relative_path END AS relative_path,
+      content || CASE WHEN doc_id % 7 = 0 THEN chr(10) || 'nation_' || {nation} || '_vault = ' || substr({digest}, 1, 12) ELSE '' END
+        || CASE WHEN doc_id % 14 = 1 THEN chr(10) || 'nation_1_vault: <API_KEY>' ELSE '' END
+        || CASE WHEN doc_id % 9 = 0 THEN chr(10) || 'see pk' || {part} || '-' || substr({digest}, 1, 12) || ' in the log' ELSE '' END
+        || CASE WHEN doc_id % 9 = 1 THEN chr(10) || 'see pk' || {part} || '-XYZ01234 in the log' ELSE '' END AS content, source_modified_at
+    FROM ({corpus_sql('cur', sha, table).replace('SELECT doc_id,', 'SELECT doc_id, source,', 1)})"""
+
+
+def ruled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(ruled_corpus_sql(spark_sha, "{documents}"), documents=table(spark, sf_dir, "documents"))
+
+
+def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, RULES, "nation", "part", "documents")
+
+
 # One logbook per conversation, one heading per turn.
 STAMP = (
     "'2026-' || lpad(cast(conv_id % 12 + 1 as string), 2, '0') || '-'"
