@@ -1,69 +1,23 @@
-"""Nested JSON: secret scan and containment at any depth; sanitising as VARIANT, unrolled to a fixed
-depth, since SQL has no recursion inside an expression."""
+"""Nested JSON: secret scan, sanitising and containment, each in one pass over the text's tokens. The secret
+scan knows no depth; the other two go as deep as Spark's JSON parser, 1000 levels, and treat deeper text
+as text that is not JSON."""
 
 from __future__ import annotations
 
-import json as json_module
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import BooleanType
 
 from docwarden import vocab
+from docwarden.functions import jsonwalk
+from docwarden.functions.jsonwalk import decoded, let, quoted
 from docwarden.functions.secrets import has_credential_value, is_sensitive_key, mask_credentials
 from docwarden.functions.text import squeezed_key
 
-DEPTH = 6
-NESTED_DEPTH = 2
-
-
-def _type(value: Column) -> Column:
-    return F.schema_of_variant(value)
-
-
-def _is_object(value: Column) -> Column:
-    return _type(value).startswith("OBJECT")
-
-
-def _is_array(value: Column) -> Column:
-    return _type(value).startswith("ARRAY")
-
-
-def _is_string(value: Column) -> Column:
-    return _type(value) == "STRING"
-
-
-def _pairs(value: Column) -> Column:
-    return F.map_entries(value.try_cast("map<string,variant>"))
-
-
-def _children(value: Column, cap: int | None = None) -> Column:
-    """Members of an object or elements of an array as (key, value), so that one recursive step
-    serves both; null for leaves. Unrolling stays linear in the depth."""
-    items = value.try_cast("array<variant>")
-    if cap is not None:
-        items = F.slice(items, 1, cap)
-    elements = F.transform(
-        items,
-        lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")),
-    )
-    return F.when(_is_object(value), _pairs(value)).when(_is_array(value), elements)
-
-
-def _parsed(json: Column) -> Column:
-    return F.try_parse_json(json)
-
+NESTED_TEXTS = 2
+#: JSON inside a text inside JSON is sanitised as JSON so many times over; as plain text below that.
 
 _STRING = r'(?s)"(?:[^"\\]|\\.)*+"(?:\s*+:)?'
 
 
-def _decoded(literal: Column) -> Column:
-    """Text of a JSON string literal."""
-    bare = F.substring(literal, F.lit(2), F.length(literal) - 2)
-    read = F.get(F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>"), F.lit(0))
-    return F.when(literal.contains("\\"), F.coalesce(read, bare)).otherwise(bare)
-
-
 def has_secrets(json: Column, family: str = "audit") -> Column:
     """Whether JSON text holds a sensitive key or a credential-shaped value at any level.
 
@@ -72,8 +26,8 @@ def has_secrets(json: Column, family: str = "audit") -> Column:
 
     def secret(token: Column) -> Column:
         literal = F.regexp_replace(token, r"\s*:\z", "")
-        return F.when(token.endswith(":"), is_sensitive_key(_decoded(literal), family)).otherwise(
-            has_credential_value(_decoded(literal), family)
+        return F.when(token.endswith(":"), is_sensitive_key(decoded(literal), family)).otherwise(
+            has_credential_value(decoded(literal), family)
         )
 
     return F.coalesce(F.exists(F.regexp_extract_all(json, F.lit(_STRING), F.lit(0)), secret), F.lit(False))
@@ -81,82 +35,68 @@ def has_secrets(json: Column, family: str = "audit") -> Column:
 
 def is_json_object(json: Column) -> Column:
     """Whether text parses as one JSON object; repeated keys do not."""
-    return F.coalesce(_is_object(_parsed(json)), F.lit(False))
-
-
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once for several uses in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(json)).startswith("OBJECT"), F.lit(False))
 
 
-def _quoted(text: Column) -> Column:
-    """A JSON string literal."""
-    return _let(F.to_json(F.array(text)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
-
-
-def sanitize_text(text: Column, *, nested: bool = True, keep_listings: bool = False) -> Column:
+def sanitize_text(text: Column, *, nested: int = NESTED_TEXTS, keep_listings: bool = False) -> Column:
     """Mask credentials and cut to the text cap; JSON inside the text is sanitised as JSON."""
 
     def plain(value: Column) -> Column:
         return F.substring(mask_credentials(value), 1, vocab.TEXT_CAP)
 
-    def from_json(value: Column) -> Column:
-        return F.when(_is_object(value) | _is_array(value), F.substring(
-            _sanitized(value, NESTED_DEPTH, False, keep_listings), 1, vocab.TEXT_CAP
-        ))
-
     if not nested:
-        return _let(text, plain)
+        return let(text, plain)
     trimmed = F.trim(text)
-    inner = F.when(trimmed.rlike(r"^[{\[]"), _let(_parsed(trimmed), from_json))
-    return F.coalesce(inner, _let(text, plain))
+    inner = F.when(trimmed.rlike(r"^[{\[]"), F.substring(_sanitized(trimmed, nested - 1, keep_listings), 1, vocab.TEXT_CAP))
+    return F.coalesce(inner, let(text, plain))
 
 
-def _sanitized(value: Column, depth: int, nested: bool, keep_listings: bool) -> Column:
+def _sanitized(json: Column, nested: int, keep_listings: bool) -> Column:
+    """Sanitised JSON with the keys of each object in order, the last of repeated ones; null if the text
+    is not JSON. A frame gathers the texts of its members; nothing is gathered where a key is dropped
+    or masked, or beyond the cap of a list."""
     dropped = vocab.BODY_KEYS if keep_listings else vocab.BODY_KEYS + vocab.LISTING_KEYS
-    text = F.when(
-        _is_string(value),
-        _quoted(
-            sanitize_text(value.try_cast("string"), nested=nested, keep_listings=keep_listings)
-        ),
-    )
-    if depth == 0:
-        return text.when(_is_object(value) | _is_array(value), F.lit('"<too deep>"')).otherwise(
-            F.to_json(value)
-        )
-
-    def named(entry: Column) -> Column:
-        key = sanitize_text(entry["key"], nested=False)
-        return F.struct(key.alias("key"), entry["value"].alias("value"))
-
-    def member(entry: Column) -> Column:
-        masked = F.coalesce(squeezed_key(entry["key"]).isin(*vocab.SECRET_KEYS), F.lit(False))
-        body = F.when(masked, F.lit(f'"{vocab.MASKED}"')).otherwise(
-            _sanitized(entry["value"], depth - 1, nested, keep_listings)
-        )
-        label = F.when(entry["key"].isNull(), "").otherwise(
-            F.concat(_quoted(entry["key"]), F.lit(":"))
-        )
-        return F.concat(label, body)
 
-    kept = F.filter(
-        F.transform(_children(value, vocab.LIST_CAP), named),
-        lambda e: e["key"].isNull() | ~squeezed_key(e["key"]).isin(*dropped),
+    drop, mask = (", ".join(f"'{k}'" for k in keys) for keys in (dropped, vocab.SECRET_KEYS))
+
+    def shown(kind: Column, token: Column) -> dict[str, Column]:
+        """A key's name, literal and folded form; a value's text."""
+        name = F.when(kind == "k", sanitize_text(decoded(token), nested=0))
+        text = F.when(kind == "s", quoted(sanitize_text(decoded(token), nested=nested, keep_listings=keep_listings))).otherwise(token)
+        return {"k": name, "t": F.when(kind != "k", text)}
+
+    def folded(item: Column) -> Column:
+        fields = [item["c"].alias("c"), item["k"].alias("k"), F.when(item["c"] == "k", quoted(item["k"])).otherwise(item["t"]).alias("t")]
+        return F.struct(*fields, F.when(item["c"] == "k", squeezed_key(item["k"])).alias("r"))
+
+    members = "array<struct<k:string,i:int,q:string,t:string>>"
+    hidden = lambda f: f"({f}.h OR {f}.r = 'drop' OR ({f}.kind = 'a' AND {f}.n >= {vocab.LIST_CAP}))"
+
+    def with_member(f: str, text: str) -> str:
+        item = f"named_struct('k', {f}.k, 'i', {f}.n, 'q', {f}.q, 't', if({f}.r = 'mask', '\"{vocab.MASKED}\"', {text}))"
+        return f"if({hidden(f)}, {f}.m, array_append({f}.m, {item}))"
+
+    last = "filter(ms, (m, i) -> coalesce(get(ms, i + 1).k <> m.k, true))"
+    listed = f"transform(array(array_sort(f.m)), ms -> array_join(transform({last}, m -> concat(m.q, ':', m.t)), ','))[0]"
+    closed = f"if(f.h, '', if(f.kind = 'o', concat('{{', {listed}, '}}'), concat('[', array_join(transform(f.m, m -> m.t), ','), ']')))"
+    made = jsonwalk.walk(
+        F.transform(jsonwalk.items(json, shown), folded),
+        {"k": ("string", "cast(null AS string)"), "q": ("string", "cast(null AS string)"), "r": ("string", "''"), "h": ("boolean", "false"), "m": (members, "array()")},
+        {},
+        key={"k": "x.k", "q": "x.t", "r": f"CASE WHEN x.r IN ({drop}) THEN 'drop' WHEN x.r IN ({mask}) THEN 'mask' ELSE '' END"},
+        value={"m": with_member("f", "x.t")},
+        open_={"k": "cast(null AS string)", "q": "cast(null AS string)", "r": "''", "h": f"{hidden('f')} OR f.r = 'mask'", "m": f"cast(array() AS {members})"},
+        close={"m": with_member("g", closed)},
+        note={},
     )
-    members = F.array_join(F.transform(kept, member), ",")
-    is_object = _is_object(value)
-    wrapped = F.concat(
-        F.when(is_object, "{").otherwise("["), members, F.when(is_object, "}").otherwise("]")
-    )
-    return text.otherwise(F.coalesce(wrapped, F.to_json(value)))
+    return let(made, lambda m: F.when(m["valid"], F.get(m["root"]["m"], F.lit(0))["t"]))
 
 
-def sanitize_json(json: Column, *, keep_listings: bool = False, depth: int = DEPTH) -> Column:
+def sanitize_json(json: Column, *, keep_listings: bool = False) -> Column:
     """Bounded diagnostic form of JSON: body keys removed, secret keys masked, credential values
-    masked, lists and texts capped. ``keep_listings`` keeps ``items`` and ``data``, as for a
+    masked, lists and texts capped, at every depth that parses. ``keep_listings`` keeps ``items`` and ``data``, as for a
     successful response. Text that is not JSON is treated as plain text."""
-    tree = _let(_parsed(json), lambda v: _sanitized(v, depth, True, keep_listings))
-    return F.coalesce(tree, sanitize_text(json, nested=False))
+    return F.coalesce(_sanitized(json, NESTED_TEXTS, keep_listings), sanitize_text(json, nested=0))
 
 
 def sanitize_map(values: Column, *, keep_listings: bool = False) -> Column:
@@ -171,43 +111,65 @@ def sanitize_map(values: Column, *, keep_listings: bool = False) -> Column:
     )
 
 
-def _within(expected: object, actual: object) -> bool:
-    """Objects field by field, anything else as a whole."""
-    open_ = [(expected, actual)]
-    while open_:
-        want, have = open_.pop()
-        if isinstance(want, dict):
-            if not isinstance(have, dict) or any(key not in have for key in want):
-                return False
-            open_ += [(value, have[key]) for key, value in want.items()]
-        elif want != have:
-            return False
-    return True
-
-
-def _loaded(text: str | None) -> object:
-    try:
-        return json_module.loads(text)
-    except (TypeError, ValueError, RecursionError):
-        return None
-
-
-@F.pandas_udf(BooleanType())
-def _contains(actual: pd.Series, expected: pd.Series) -> pd.Series:
-    return pd.Series(
-        [
-            (want := _loaded(e)) is not None and (have := _loaded(a)) is not None and _within(want, have)
-            for a, e in zip(actual, expected, strict=True)
-        ],
-        dtype=bool,
+GATHERED = 256
+
+
+def json_entries(json: Column) -> Column:
+    """A struct with ``valid`` and ``entries`` of JSON text: one (``list``, ``entry``) for every value, where
+    ``entry`` is the digest of the value's path and its canonical text (``{`` or ``[`` for a container), and
+    ``list`` the outermost list it lies in or is, by its path's digest. Equal numbers have one text,
+    and true and false are 1 and 0."""
+
+    def canonical(token: Column) -> Column:
+        number = token.cast("double")
+        whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+        spelled = F.when(token.rlike(r"^-?[0-9]+\z"), F.when(token == "-0", "0").otherwise(token)).otherwise(
+            F.when(whole, F.floor(number).cast("string")).otherwise(number.cast("string"))
+        )
+        literal = F.when(token.contains("\\"), quoted(decoded(token))).otherwise(token)
+        return F.when(token.startswith('"'), literal).when(token == "true", "1").when(token == "false", "0").when(token == "null", token).otherwise(spelled)
+
+    path = "md5(concat(f.p, if(f.kind = 'o', f.k, cast(f.n AS string))))"
+    inside = f"CASE WHEN f.l <> '' THEN f.l WHEN x.c = '[' THEN {path} ELSE '' END"
+    entry = f"named_struct('list', {inside}, 'entry', concat({path}, x.t))"
+    entries = "array<struct<list:string,entry:string>>"
+    made = jsonwalk.walk(
+        jsonwalk.items(json, lambda kind, token: {"t": F.when(kind.isin("k", "s", "n"), canonical(token)).otherwise(token)}),
+        {"k": ("string", "''"), "p": ("string", "''"), "l": ("string", "''")},
+        {"some": (entries, "array()"), "more": (f"array<{entries}>", "array()")},
+        key={"k": "x.t"},
+        value={},
+        open_={"k": "''", "p": path, "l": inside},
+        close={},
+        note={
+            "some": f"if(size(a.some) < {GATHERED}, array_append(a.some, {entry}), array({entry}))",
+            "more": f"if(size(a.some) < {GATHERED}, a.more, array_append(a.more, a.some))",
+        },
     )
+    return let(made, lambda m: F.struct(m["valid"].alias("valid"), F.flatten(F.array_append(m["more"], m["some"])).alias("entries")))
 
 
 def config_contains(actual: Column, expected: Column) -> Column:
-    """Whether every field of the expected JSON object has the same value in the actual one, at any
-    depth. The one place where rows go through Python, in Arrow batches: an expression would have to
-    stop at a depth, and below it give wrong answers. Text that is not JSON contains nothing."""
-    return _contains(actual.cast("string"), expected.cast("string"))
+    """Whether every field of the expected JSON object has the same value in the actual one, at every
+    depth; lists are compared as a whole. Text that does not parse, or repeats a key, contains nothing and
+    is in nothing."""
+
+    def once(found: Column) -> Column:
+        paths = F.transform(found["entries"], lambda x: F.substring(x["entry"], 1, 32))
+        return found["valid"] & (F.size(F.array_distinct(paths)) == F.size(paths))
+
+    def compare(want: Column) -> Column:
+        entries = lambda found: F.transform(found, lambda x: x["entry"])
+        lists = F.array_distinct(F.transform(F.filter(want["entries"], lambda x: x["list"] != ""), lambda x: x["list"]))
+
+        def beside(have: Column) -> Column:
+            asked, held = entries(want["entries"]), entries(have["entries"])
+            in_lists = entries(F.filter(have["entries"], lambda x: (x["list"] != "") & F.array_contains(lists, x["list"])))
+            return once(want) & once(have) & (F.size(F.array_except(asked, held)) == 0) & (F.size(F.array_except(in_lists, asked)) == 0)
+
+        return let(json_entries(actual.cast("string")), beside)
+
+    return F.coalesce(let(json_entries(expected.cast("string")), compare), F.lit(False))
 
 
 def canonical_json(columns: dict[str, Column]) -> Column:

@@ -243,6 +243,10 @@ CREDENTIAL_VALUE = (
 )
 
 
+# Every alternative of CREDENTIAL_VALUE begins with one of these, or has a separator.
+CREDENTIAL_TRIGGER = "(?iu)-----BEGIN|eyJ|ghp_|github_pat_|sk-|xox|AKIA|Bearer|[:=]"
+
+
 def _is_named_placeholder(match: Column) -> Column:
     assigned = F.regexp_replace(match, r"^[^:=]*[:=]", "")
     bare = F.regexp_replace(F.regexp_replace(assigned, "^[ '\"]+|[ '\"]+\\z", ""), r"[.,;:!?]+\z", "")
@@ -257,7 +261,7 @@ def has_credential_value(value: Column, family: str = "audit") -> Column:
             hit |= value.rlike(pattern)
     else:
         hit = F.when(
-            value.rlike(CREDENTIAL_VALUE),
+            value.rlike(CREDENTIAL_TRIGGER) & value.rlike(CREDENTIAL_VALUE),
             F.exists(rewrite.matches(value, CREDENTIAL_VALUE), lambda m: ~_is_named_placeholder(m)),
         ).otherwise(False)
     return F.coalesce(hit, F.lit(False))
@@ -266,7 +270,7 @@ def has_credential_value(value: Column, family: str = "audit") -> Column:
 def mask_credentials(value: Column) -> Column:
     """Replace every concrete credential in a text; documentation placeholders stay."""
     return F.when(
-        value.rlike(CREDENTIAL_VALUE),
+        value.rlike(CREDENTIAL_TRIGGER) & value.rlike(CREDENTIAL_VALUE),
         rewrite.rewrite(
             value,
             CREDENTIAL_VALUE,

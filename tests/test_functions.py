@@ -81,6 +81,18 @@ def test_sanitize(spark):
     assert df.select(jsontree.sanitize_map(F.col("m"))).first()[0] == {"apiKey": "<redacted>", "n": "ok"}
 
 
+def test_sanitize_far_down(spark):
+    deep = {"password": "p", "note": "token sk-" + "a" * 24, "text": json.dumps({"x": json.dumps({"api_key": "k", "z": [1]})})}
+    expected = {"password": "<redacted>", "note": "token <redacted>", "text": json.dumps({"x": '{"api_key":"<redacted>","z":[1]}'}, separators=(",", ":"))}
+    for level in range(40):
+        deep, expected = {"a": [deep, {"content": 1}], "b": level}, {"a": [expected, {}], "b": level}
+    rows = [json.dumps(deep), '{"a": [1, 2', '{"a": tru}', "[" * 1200 + "]" * 1200, None, '{"b":[],"a":{}, "c": "\\u00e9\\n", "d": 1e3, "\\"q": null}']
+    got = values(spark, rows, jsontree.sanitize_json)
+    assert json.loads(got[0]) == expected
+    assert got[1:3] == rows[1:3] and got[3] == "[" * 512 and got[4] is None
+    assert json.loads(got[5]) == json.loads(rows[5])
+
+
 def test_secret_scan(spark):
     deep, clean = {"password": 1}, {"note": 1}
     for _ in range(30):
@@ -105,3 +117,8 @@ def test_config_contains(spark):
         below, above = '{"k": %s}' % below, '{"k": %s, "z": 0}' % above
     assert values(spark, [below, above, '{"x": 1}'], lambda v: jsontree.config_contains(F.lit(above), v)) == [True, True, False]
     assert values(spark, [above, "no json"], lambda v: jsontree.config_contains(F.lit(below), v)) == [False, False]
+    lists = '{"a": [{"x": 1, "y": [2]}, []], "n": 1.0, "t": true, "e": "\\u0061"}'
+    rows = ['{"a": [{"y": [2], "x": 1.0}, []]}', '{"a": [{"y": [2]}, []]}', '{"a": [{"x": 1, "y": [2]}]}', '{"n": 1, "t": 1, "e": "a"}', '{"t": 0}', '{"a": {}}', '{"n": 1, "n": 1}']
+    assert values(spark, rows, lambda v: jsontree.config_contains(F.lit(lists), v)) == [True, False, False, True, False, False, False]
+    nested = '{"k":' * 300 + "1" + "}" * 300
+    assert values(spark, [nested, "[" * 1200 + "]" * 1200], lambda v: jsontree.config_contains(v, v)) == [True, False]
