@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from docwarden import vocab
 from docwarden.functions import jsontree
 from docwarden.functions.jsontree import sanitize_json, sanitize_text
-from docwarden.functions.secrets import has_credential_value
+from docwarden.functions.secrets import has_credential_value, is_sensitive_key
+from docwarden.operators.checks import violations
+from docwarden.session import materialize
 
 TERMINAL_PHASES = ("completed", "failed", "cancelled", "timed_out", "uncertain")
 
@@ -44,6 +46,37 @@ def reject_secrets(events: DataFrame, *, key: str, json: str, family: str = "aud
     return events.select(key, reason.alias("violation")).filter("violation IS NOT NULL")
 
 
+def secret_places(events: DataFrame, *, key: str, json: str, family: str = "audit") -> DataFrame:
+    """Where the secrets of nested JSON lie: (key, place, rule) with the JSON path of every sensitive key
+    (``sensitive_key``) and of every text that holds a credential (``credential_value``); ``not_an_object``
+    at ``$`` for text that is no JSON object. Values are never returned.
+
+    Members are unfolded a level at a time by ``variant_explode``; the containers among them are written
+    as the next level, until there is none, so the depth has no limit but the parser's."""
+    spark = events.sparkSession
+    given = events.select(F.col(key), F.lit("$").alias("place"), F.col(json).alias("node"))
+    whole = jsontree.is_json_object(F.col("node"))
+    found = given.filter(~whole).select(key, "place", F.lit("not_an_object").alias("rule"))
+    level = given.filter(whole)
+    while True:
+        level = materialize(level, "secret-level")
+        if level.isEmpty():
+            return found
+        parsed = level.withColumn("node", F.try_parse_json("node"))
+        members = spark.sql(f"SELECT l.`{key}`, l.place, e.pos, e.key AS _name, e.value FROM {{level}} l, LATERAL variant_explode(l.node) AS e", level=parsed)
+        kind = F.schema_of_variant("value")
+        step = F.when(F.col("_name").isNotNull(), F.concat(F.lit("."), "_name")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        text = F.when(kind == "STRING", F.col("value").try_cast("string"))
+        members = members.withColumns({"place": F.concat("place", step), "_text": text, "_kind": kind})
+        rules = {
+            "sensitive_key": F.col("_name").isNotNull() & is_sensitive_key(F.col("_name"), family),
+            "credential_value": F.col("_text").isNotNull() & has_credential_value(F.col("_text"), family),
+        }
+        found = found.unionByName(violations(members, [key, "place"], rules).withColumnRenamed("violation", "rule"))
+        inner = F.col("_kind").startswith("OBJECT") | F.col("_kind").startswith("ARRAY")
+        level = members.filter(inner).select(key, "place", F.to_json("value").alias("node"))
+
+
 def accepted_events(events: DataFrame, *, json: str) -> DataFrame:
     """Rows that may be appended to the audit log."""
     return events.filter(jsontree.is_json_object(F.col(json)) & ~jsontree.has_secrets(F.col(json)))
@@ -88,6 +121,34 @@ def audit_lifecycle(events: DataFrame) -> DataFrame:
     )
 
 
+def lifecycle_sessions(events: DataFrame, *, deadline_seconds: int = vocab.DEADLINE_SECONDS) -> DataFrame:
+    """One row per session of an operation, on tables and, with a watermark on ``ts``, on streams: first_ts,
+    intended_ts, acknowledged_ts, end_ts, phase_order and outcome.
+
+    A session ends when an operation is silent for longer than the deadline. Its state is one first time
+    per phase, so neither repeated events nor many starts grow it, and starts are never paired with
+    ends. The outcome is the first terminal phase if it came within the deadline of the intent (of the
+    session's first event where none was recorded), else ``timed_out``."""
+    first = {p: F.min(F.when(F.col("phase") == p, F.col("ts"))) for p in vocab.PHASES}
+    sessions = events.groupBy("operation_id", F.session_window("ts", f"{int(deadline_seconds)} seconds").alias("_session")).agg(
+        *[column.alias(f"_{p}") for p, column in first.items()]
+    )
+    listed = F.array(*[F.struct(F.col(f"_{p}").alias("ts"), F.lit(i).alias("rank"), F.lit(p).alias("phase")) for i, p in enumerate(vocab.PHASES)])
+    phases = F.array_sort(F.filter(listed, lambda x: x["ts"].isNotNull()))
+    began = F.col("_session.start")
+    due = F.coalesce("_intended", began) + F.expr(f"INTERVAL {int(deadline_seconds)} SECONDS")
+    end = F.get(F.filter(phases, lambda x: x["phase"].isin(*TERMINAL_PHASES)), F.lit(0))
+    return sessions.select(
+        "operation_id",
+        began.alias("first_ts"),
+        F.col("_intended").alias("intended_ts"),
+        F.col("_acknowledged").alias("acknowledged_ts"),
+        F.when(end["ts"] <= due, end["ts"]).alias("end_ts"),
+        F.array_join(F.transform(phases, lambda x: x["phase"]), ">").alias("phase_order"),
+        F.when(end["ts"] <= due, end["phase"]).otherwise("timed_out").alias("outcome"),
+    )
+
+
 def first_of_phase(events: DataFrame, phases: tuple[str, ...], name: str) -> DataFrame:
     return events.filter(F.col("phase").isin(*phases)).select(
         F.col("operation_id"), F.col("phase").alias(f"{name}_phase"), F.col("ts").alias(f"{name}_ts")

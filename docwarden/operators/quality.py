@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docwarden import vocab
 from docwarden.functions.jsontree import sanitize_json
-from docwarden.operators.skew import lookup_join
+from docwarden.operators.skew import lookup_join, successor_within
 
 
 def quality_gate(cases: DataFrame) -> DataFrame:
@@ -68,6 +68,27 @@ def current_decisions(decisions: DataFrame, corrections: DataFrame | None = None
     return joined.withColumn("status", status).drop("_refuted")
 
 
+def decision_chains(decisions: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
+    """Each decision with its place in its subject's chain: ``superseded_by`` (the very next decision that
+    stands, null for the current one), ``position`` (from 1) and ``status``. A decision that a correction
+    refutes is ``disproved`` and in no chain; what came before it is superseded by what came after.
+
+    ``decisions`` has decision_id, subject and decided_at; ``corrections`` disproved_id. Decisions of one time
+    are ordered by id, those without a time come first. A subject with very many decisions is cut into
+    ranges of time, so no task holds it whole."""
+    if corrections is None:
+        standing, refuted = decisions, decisions.filter("false")
+    else:
+        wrong = corrections.select(F.col("disproved_id").alias("decision_id")).distinct()
+        standing, refuted = decisions.join(wrong, "decision_id", "left_anti"), decisions.join(wrong, "decision_id", "left_semi")
+    columns = decisions.columns
+    chained = successor_within(
+        standing.select(columns), "subject", ["decided_at", "decision_id"], value="decision_id", successor="superseded_by", rank="position"
+    )
+    chained = chained.withColumn("status", F.when(F.col("superseded_by").isNull(), "current").otherwise("superseded"))
+    return chained.unionByName(refuted.select(columns).withColumn("status", F.lit("disproved")), allowMissingColumns=True)
+
+
 def checkpoint_runs(runs: DataFrame, *, key: str = "project") -> DataFrame:
     """Per project the last run that succeeded; dry and failed runs never replace it."""
     done = runs.filter("result = 'completed' AND NOT dry_run")

@@ -48,3 +48,28 @@ def rank_within(
     same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_slab") == F.col("_of_slab"))
     placed = ranged.withColumn("_local", local).join(offsets, same)
     return placed.select(*df.columns, (F.col("_local") + F.col("_offset")).alias(rank), total)
+
+
+def successor_within(df: DataFrame, group: str, order: list[str], *, value: str, successor: str = "successor", rank: str = "rank") -> DataFrame:
+    """``value`` of the next row of each row's group (null for the last one) and the row's 1-based position.
+
+    Built like :func:`rank_within`: range partitions cut a large group into slabs, successors and positions
+    are found inside a slab, and a small table with one row per group and slab links the last row of a
+    slab to the first of the next and gives the offset. No task holds a whole group."""
+    by = [group, *order]
+    ranged = materialize(df.repartitionByRange(*by).withColumn("_slab", F.spark_partition_id()), "slabs")
+    slab = Window.partitionBy(group, "_slab").orderBy(*order)
+    sizes = ranged.groupBy(group, "_slab").agg(F.count("*").alias("_rows"), F.min_by(value, F.struct(*order)).alias("_first"))
+    slabs = Window.partitionBy(group).orderBy("_slab")
+    edges = sizes.select(
+        F.col(group).alias("_group"),
+        F.col("_slab").alias("_of_slab"),
+        F.lead("_first").over(slabs).alias("_next"),
+        F.coalesce(F.sum("_rows").over(slabs.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        "_rows",
+    )
+    local = ranged.withColumns({"_local": F.row_number().over(slab), "_after": F.lead(value).over(slab)})
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_slab") == F.col("_of_slab"))
+    placed = local.join(edges, same)
+    after = F.when(F.col("_local") == F.col("_rows"), F.col("_next")).otherwise(F.col("_after"))
+    return placed.select(*df.columns, after.alias(successor), (F.col("_local") + F.col("_offset")).alias(rank))

@@ -47,6 +47,14 @@ def stream_outcomes(
     )
 
 
+def stream_lifecycle(
+    events: DataFrame, *, deadline_seconds: int = vocab.DEADLINE_SECONDS, delay: str = "10 minutes"
+) -> DataFrame:
+    """Sessions of operations with all their phases (see :func:`audit.lifecycle_sessions`), each once, when
+    the watermark has passed its end. State is one row per open session."""
+    return audit.lifecycle_sessions(events.withWatermark("ts", delay), deadline_seconds=deadline_seconds)
+
+
 def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 

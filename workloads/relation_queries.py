@@ -501,6 +501,31 @@ def secret_scan(spark, d):
     return A.reject_secrets(rows, key="event_id", json="event")
 
 
+# Nested rows that hide secrets at several depths, and some that only look so.
+NESTED = """
+  SELECT event_id, CASE event_id % 5
+    WHEN 0 THEN '{"run": {"steps": [{"api_key": "x"}, ' || props || ', {"deep": [[{"password": 1}]]}], "tokenBudget": 3}}'
+    WHEN 1 THEN '{"note": "password: p' || event_id || '", "list": ["plain", "Bearer abcdefghijklmnop' || event_id || '"], "props": ' || props || '}'
+    WHEN 2 THEN '{"body": {"content": {"secret": "<TOKEN>"}}, "event": "' || event_type || '"}'
+    WHEN 3 THEN '[' || event_id || ']'
+    ELSE '{"props": ' || props || ', "many": [{"a": [{"b": {"client_secret": null}}]}]}' END AS event
+  FROM events"""
+
+
+@query(
+    "secret_places",
+    f"""WITH rows AS ({NESTED}),
+      t AS (SELECT event_id, fullkey, key, atom, type FROM rows, json_tree(event) WHERE event_id % 5 <> 3)
+      SELECT event_id, fullkey AS place, 'sensitive_key' AS rule FROM t
+        WHERE lower(regexp_replace(key, '[_.-]', '', 'g')) IN ('apikey', 'password', 'body', 'content', 'secret', 'clientsecret', 'items', 'data', 'payload', 'token')
+      UNION ALL SELECT event_id, fullkey, 'credential_value' FROM t WHERE type = 'VARCHAR' AND regexp_matches(json_extract_string(atom, '$'), 'password: |Bearer [a-z0-9]{{16,}}')
+      UNION ALL SELECT event_id, '$', 'not_an_object' FROM rows WHERE event_id % 5 = 3""",
+)
+def secret_places(spark, d):
+    rows = I.sql(spark, d, NESTED.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), "events")
+    return A.secret_places(rows, key="event_id", json="event")
+
+
 @query(
     "config_contains",
     """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN true WHEN event_id % 3 = 1 THEN false
@@ -592,6 +617,24 @@ def current_decisions(spark, d):
     return Q.current_decisions(decisions, corrections).select("decision_id", "current_id", "status")
 
 
+HOT_DECISIONS = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE 'user-' || user_id END AS subject, ts FROM {events}"
+
+
+@query(
+    "decision_chains",
+    f"""WITH d AS ({HOT_DECISIONS.replace('{events}', 'events')}),
+      s AS (SELECT *, lead(event_id) OVER w AS superseded_by, row_number() OVER w AS position FROM d
+        WHERE event_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) WINDOW w AS (PARTITION BY subject ORDER BY ts, event_id))
+      SELECT event_id AS decision_id, superseded_by, position, CASE WHEN superseded_by IS NULL THEN 'current' ELSE 'superseded' END AS status FROM s
+      UNION ALL SELECT event_id, NULL, NULL, 'disproved' FROM d WHERE event_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+)
+def decision_chains(spark, d):
+    """One subject owns a third of the decisions."""
+    decisions = I.sql(spark, d, HOT_DECISIONS, "events").withColumnsRenamed({"event_id": "decision_id", "ts": "decided_at"})
+    corrections = I.table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("disproved_id"))
+    return Q.decision_chains(decisions, corrections).select("decision_id", "superseded_by", "position", "status")
+
+
 @query(
     "checkpoint",
     """SELECT o_custkey AS project, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS run_id FROM orders
@@ -670,6 +713,40 @@ def stream_outcomes(spark, d):
     return outcome_columns(A.first_outcomes(run_stream(out)))
 
 
+_SESSIONS = f"""f AS ({O.FEED}),
+  b AS (SELECT *, coalesce(ts > lag(ts) OVER w + INTERVAL 7200 SECONDS, true) AS opens FROM f WINDOW w AS (PARTITION BY operation_id ORDER BY ts)),
+  n AS (SELECT *, sum(opens::INT) OVER (PARTITION BY operation_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM b),
+  p AS (SELECT operation_id, session, phase, min(ts) AS ts FROM n GROUP BY ALL),
+  g AS (
+    SELECT operation_id, min(ts) AS first_ts, max(ts) FILTER (phase = 'intended') AS intended_ts, max(ts) FILTER (phase = 'acknowledged') AS acknowledged_ts,
+      min(ts) FILTER (phase IN ('completed', 'failed')) AS ended, arg_min(phase, ts) FILTER (phase IN ('completed', 'failed')) AS ending,
+      coalesce(string_agg(phase, '>' ORDER BY ts) FILTER (phase <> 'progress'), '') AS phase_order
+    FROM p GROUP BY operation_id, session),
+  last AS (SELECT operation_id, session, max(ts) AS last_ts, min(ts) AS first_ts FROM n GROUP BY ALL),
+  sessions AS (
+    SELECT g.operation_id, g.first_ts, intended_ts, acknowledged_ts, phase_order, last_ts,
+      ended <= coalesce(intended_ts, g.first_ts) + INTERVAL 7200 SECONDS AS in_time, ended, ending FROM g JOIN last USING (operation_id, first_ts))"""
+_TEXT = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f') AS {c}"
+_LIFECYCLE = f"""SELECT operation_id, {_TEXT('first_ts')}, {_TEXT('intended_ts')}, {_TEXT('acknowledged_ts')},
+  CASE WHEN in_time THEN strftime(ended, '%Y-%m-%d %H:%M:%S.%f') END AS end_ts, phase_order, CASE WHEN in_time THEN ending ELSE 'timed_out' END AS outcome FROM sessions"""
+
+
+def lifecycle_columns(rows: DataFrame) -> DataFrame:
+    stamps = ("first_ts", "intended_ts", "acknowledged_ts", "end_ts")
+    return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in stamps})
+
+
+@query("lifecycle_sessions", f"WITH {_SESSIONS} {_LIFECYCLE}")
+def lifecycle_sessions(spark, d):
+    return lifecycle_columns(A.lifecycle_sessions(I.feed(spark, d), deadline_seconds=7200))
+
+
+@query("stream_lifecycle", f"WITH {_SESSIONS} {_LIFECYCLE} WHERE last_ts + INTERVAL 7200 SECONDS <= (SELECT max(ts) FROM events) - INTERVAL 600 SECONDS")
+def stream_lifecycle(spark, d):
+    """Sessions that the watermark has passed; the last ones stay open in the stream."""
+    return lifecycle_columns(run_stream(S.stream_lifecycle(feed_stream(spark, d), deadline_seconds=7200)))
+
+
 @query(
     "stream_upsert",
     """SELECT document_id, event_id, event_type FROM (SELECT 'user-' || user_id AS document_id, event_id, event_type,
