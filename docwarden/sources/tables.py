@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from docwarden.functions.jsontree import has_secrets, is_json_object
 from docwarden.functions.secrets import has_credential_value
 from docwarden.operators.audit import accepted_events, reject_secrets
 from docwarden.operators.checks import ViolationError, require_none
@@ -80,6 +81,27 @@ def append_audit(events: DataFrame, path: str, *, key: str, json: str, strict: b
     return rejected
 
 
+def append_audit_counted(events: DataFrame, path: str, *, json: str) -> dict[str, int]:
+    """Append the accepted events and count, in the one job that writes them: ``appended``, and by reason
+    ``secret`` and ``not_an_object``. The events are read once."""
+    whole = is_json_object(F.col(json))
+    secret = has_secrets(F.col(json)) | (~whole & has_credential_value(F.col(json)))
+    reason = F.when(secret, "secret").when(~whole, "not_an_object").otherwise("appended")
+    seen = Observation("audit")
+    counts = [F.count_if(F.col("_reason") == name).alias(name) for name in ("appended", "secret", "not_an_object")]
+    judged = events.select(F.col(json).alias("value"), reason.alias("_reason")).observe(seen, *counts)
+    judged.filter("_reason = 'appended'").select("value").write.mode("append").text(path)
+    return dict(seen.get)
+
+
+def write_items(items: DataFrame, path: str) -> dict[str, int]:
+    """Write export items; ``item_count`` and ``total_bytes`` (UTF-8) come from the job that writes them."""
+    seen = Observation("items")
+    size = F.coalesce(F.sum(F.octet_length("content").cast("bigint")), F.lit(0))
+    items.observe(seen, F.count("*").alias("item_count"), size.alias("total_bytes")).write.mode("errorifexists").parquet(path)
+    return dict(seen.get)
+
+
 def read_audit(spark: SparkSession, path: str, schema: str = AUDIT_SCHEMA) -> DataFrame:
     return spark.read.schema(schema).json(path)
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from docwarden import vocab
 from docwarden.operators import audit
@@ -55,83 +54,32 @@ def stream_lifecycle(
     return audit.lifecycle_sessions(events.withWatermark("ts", delay), deadline_seconds=deadline_seconds)
 
 
-def bucket_of(key: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+def upsert_batch(batch: DataFrame, path: str, batch_id: int, *, run: str = "batch") -> None:
+    """Append one micro-batch as the partition of its run and number. A batch that is run again overwrites
+    its own partition, so it counts once; another run has partitions of its own."""
+    batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch={int(batch_id)}")
 
 
-BUCKETS = 256
-COMMITS = "version long, run string, batch long, buckets int, bucket int"
+def read_upserted(
+    spark: SparkSession, path: str, *, key: str = "document_id", order: tuple[str, ...] = ("exported_at",)
+) -> DataFrame:
+    """The latest record of each id over all batches; of records with the same order value the greatest
+    counts. Maxima combine before the shuffle, so an id with very many records is one row per task."""
+    rows = spark.read.parquet(path).drop("run", "batch")
+    return latest_per_id(rows, key=key, order=(*order, *[c for c in rows.columns if c not in order and c != key]))
 
 
-def read_commits(spark: SparkSession, path: str) -> DataFrame | None:
-    """One row per committed version and bucket; None while the table does not exist."""
-    try:
-        return spark.read.schema(COMMITS).json(f"{path}/commits")
-    except AnalysisException:
-        return None
+def compact(spark: SparkSession, path: str, target: str, **options) -> None:
+    """Write the latest records as a table of one batch at ``target``, for a stream to go on from."""
+    upsert_batch(read_upserted(spark, path, **options), target, 0, run="compacted")
 
 
-def upsert_batch(
-    batch: DataFrame,
-    path: str,
-    batch_id: int,
-    *,
-    run: str = "batch",
-    key: str = "document_id",
-    order: tuple[str, ...] = ("exported_at",),
-    buckets: int = BUCKETS,
-) -> None:
-    """Replace records of the same id: one micro-batch against a bucketed table of versions.
-
-    Only the buckets that the batch touches are read and rewritten, as the version after the last
-    committed one; the commit names run and batch, so a batch that is run again changes nothing, and
-    another run, whose batches count from 0 again, goes on after the first. Data without a commit is
-    not read and is overwritten by the next attempt."""
-    spark = batch.sparkSession
-    commits = read_commits(spark, path)
-    version = 0
-    if commits is not None:
-        # One row: what the last version is, whether this batch is in, and the number of buckets.
-        mine = F.count_if((F.col("run") == run) & (F.col("batch") == batch_id))
-        last = commits.agg(F.max("version").alias("version"), mine.alias("mine"), F.max("buckets").alias("buckets")).first()
-        if last["mine"]:
-            return
-        if last["buckets"] not in (None, buckets):
-            raise ValueError(f"the table has {last['buckets']} buckets, not {buckets}")
-        version = 0 if last["version"] is None else last["version"] + 1
-    incoming = batch.withColumn("bucket", bucket_of(key, buckets))
-    current = read_upserted(spark, path)
-    if current is not None:
-        # At most one row per bucket, hence the broadcast.
-        touched = incoming.select("bucket").distinct()
-        incoming = incoming.unionByName(
-            current.join(F.broadcast(touched), "bucket", "left_semi").select(*incoming.columns)
-        )
-    newest = latest_per_id(incoming, key=key, order=order)
-    target = f"{path}/data/version={version}"
-    newest.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
-    written = spark.read.parquet(target).select("bucket").distinct()
-    facts = [F.lit(version).alias("version"), F.lit(run).alias("run"), F.lit(batch_id).alias("batch"), F.lit(buckets).alias("buckets")]
-    written.select(*facts, F.col("bucket").cast("int").alias("bucket")).coalesce(1).write.mode("append").json(f"{path}/commits")
-
-
-def read_upserted(spark: SparkSession, path: str) -> DataFrame | None:
-    """The last committed version of every bucket; None while there is none. Commits are one small
-    row per version and bucket; older versions are left out by their partition values."""
-    commits = read_commits(spark, path)
-    if commits is None or commits.isEmpty():
-        return None
-    newest = commits.groupBy("bucket").agg(F.max("version").alias("version"))
-    rows = spark.read.parquet(f"{path}/data")
-    return rows.join(newest, ["bucket", "version"], "left_semi").drop("version")
-
-
-def stream_upsert(stream: DataFrame, path: str, checkpoint: str, **options):
-    """Write a stream of records as a table with one row per id. The run is the query's id, which its
-    checkpoint keeps over restarts."""
+def stream_upsert(stream: DataFrame, path: str, checkpoint: str):
+    """Write a stream of records as a table that :func:`read_upserted` reads with one row per id. The run is
+    the query's id, which its checkpoint keeps over restarts."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
-        upsert_batch(batch, path, int(batch_id), run=run, **options)
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        upsert_batch(batch, path, batch_id, run=run)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

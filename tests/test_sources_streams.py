@@ -206,16 +206,18 @@ def test_upsert_over_several_batches(spark, tmp_path):
     batches = [[("a", 1, "a1"), ("b", 1, "b1"), ("a", 2, "a2")], [("b", 3, "b3"), ("c", 3, "c3")], [("a", 1, "old")]]
     for version, rows in enumerate(batches):
         for _ in range(2):  # a repeated batch changes nothing
-            jobs.upsert_batch(spark.createDataFrame(rows, schema), path, version, buckets=4)
+            jobs.upsert_batch(spark.createDataFrame(rows, schema), path, version)
     got = {r["document_id"]: r["content"] for r in jobs.read_upserted(spark, path).collect()}
     assert got == {"a": "a2", "b": "b3", "c": "c3"}
     # Another run counts its batches from 0 again.
-    jobs.upsert_batch(spark.createDataFrame([("a", 9, "a9"), ("d", None, "d0")], schema), path, 0, run="second", buckets=4)
-    jobs.upsert_batch(spark.createDataFrame([("d", 1, "d1")], schema), path, 1, run="second", buckets=4)
-    got = {r["document_id"]: r["content"] for r in jobs.read_upserted(spark, path).collect()}
-    assert got == {"a": "a9", "b": "b3", "c": "c3", "d": "d1"}
-    with pytest.raises(ValueError):
-        jobs.upsert_batch(spark.createDataFrame([("a", 9, "x")], schema), path, 7, run="second", buckets=8)
+    jobs.upsert_batch(spark.createDataFrame([("a", 9, "a9"), ("d", None, "d0")], schema), path, 0, run="second")
+    jobs.upsert_batch(spark.createDataFrame([("d", 1, "d1"), ("d", 1, "d2")], schema), path, 1, run="second")
+    expected = {"a": "a9", "b": "b3", "c": "c3", "d": "d2"}
+    assert {r["document_id"]: r["content"] for r in jobs.read_upserted(spark, path).collect()} == expected
+    jobs.compact(spark, path, str(tmp_path / "compacted"))
+    again = jobs.read_upserted(spark, str(tmp_path / "compacted"))
+    assert again.columns == ["document_id", "exported_at", "content"] and again.count() == 4
+    assert {r["document_id"]: r["content"] for r in again.collect()} == expected
 
 
 def test_one_outcome_per_start(spark):

@@ -757,8 +757,6 @@ def stream_upsert(spark, d):
         F.concat(F.lit("user-"), "user_id").alias("document_id"), "ts", "event_id", "event_type"
     )
     folder = scratch_folder(spark, "upsert")
-    running = S.stream_upsert(
-        rows, f"{folder}/table", f"{folder}/checkpoint", order=("ts", "event_id")
-    ).trigger(availableNow=True).start()
+    running = S.stream_upsert(rows, f"{folder}/table", f"{folder}/checkpoint").trigger(availableNow=True).start()
     running.awaitTermination()
-    return S.read_upserted(spark, f"{folder}/table").select("document_id", "event_id", "event_type")
+    return S.read_upserted(spark, f"{folder}/table", order=("ts", "event_id")).select("document_id", "event_id", "event_type")

@@ -51,12 +51,30 @@ def staged_round_trip(spark, d):
 def audit_log(spark, d):
     """Events as JSON lines; those with a secret or that are no object are left out."""
     folder = scratch_folder(spark, "audit")
-    events = I.table(spark, d, "events").select("event_id", F.expr(
+    S.append_audit(log_events(spark, d), folder, key="event_id", json="event", strict=False)
+    return S.read_audit(spark, folder).select("operation_id", "phase", "item_count")
+
+
+def log_events(spark, d):
+    return I.table(spark, d, "events").select("event_id", F.expr(
         """CASE event_type WHEN 'error' THEN '{"operation_id": "x", "note": "password: p' || event_id || '"}' WHEN 'signup' THEN '[' || event_id || ']'
            ELSE to_json(named_struct('operation_id', 'user-' || user_id, 'phase', event_type, 'item_count', if(event_type = 'view', null, event_id))) END"""
     ).alias("event"))
-    S.append_audit(events, folder, key="event_id", json="event", strict=False)
-    return S.read_audit(spark, folder).select("operation_id", "phase", "item_count")
+
+
+@query(
+    "observed_totals",
+    f"""{O.CUR} SELECT (SELECT count(*) FROM events WHERE event_type NOT IN ('error', 'signup')) AS appended,
+      (SELECT count(*) FROM events WHERE event_type = 'error') AS secret, (SELECT count(*) FROM events WHERE event_type = 'signup') AS not_an_object,
+      count(*) AS item_count, sum(octet_length(encode(exported_text)))::BIGINT AS total_bytes FROM cur_entries WHERE document_id IS NOT NULL""",
+)
+def observed_totals(spark, d):
+    """Counted by the jobs that write the log and the exported texts."""
+    logged = S.append_audit_counted(log_events(spark, d), scratch_folder(spark, "audit"), json="event")
+    items = Q.scanned(spark, d, "cur").filter("exported_text IS NOT NULL").select("relative_path", F.col("exported_text").alias("content"))
+    written = S.write_items(items, scratch_folder(spark, "items"))
+    totals = logged | written
+    return spark.createDataFrame([totals], ", ".join(f"{name} long" for name in totals))
 
 
 @query("graph_read", f"SELECT type, confidence, count(*) AS edges, count(DISTINCT source) AS sources FROM ({O.EDGES}) GROUP BY ALL")
