@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -19,10 +20,12 @@ WORD_START = r"(?<![\p{L}\p{N}_])"
 
 @lru_cache(maxsize=None)
 def _fold_tables(kind: str) -> tuple[str, str, dict[str, str]]:
-    """Characters that a folding changes: single replacements as two aligned strings, longer ones
-    as a dictionary. Both are derived from the Unicode database, not written out."""
+    """Characters that a folding changes: single replacements as two aligned strings, longer ones and
+    those of characters beyond U+FFFF as a dictionary. Both are derived from the Unicode database, not written out."""
     singles, targets, longer = [], [], {}
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= code < 0xE000:
+            continue
         char = chr(code)
         if kind in ("casefold", "letters"):
             folded = char.casefold()
@@ -34,7 +37,7 @@ def _fold_tables(kind: str) -> tuple[str, str, dict[str, str]]:
             folded = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
             if not folded:
                 continue
-        if len(folded) == 1:
+        if len(folded) == 1 and code < 0x10000:
             singles.append(char)
             targets.append(folded)
         else:

@@ -1,6 +1,8 @@
 """Scalar functions on written cases."""
 
 import json
+import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -63,6 +65,16 @@ DIAGNOSTIC = {
 }
 
 
+def test_ascii_slug_of_every_plane(spark):
+    plain = lambda c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+    chars = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    chars = [c for i, c in enumerate(chars) if plain(c) or i % 499 == 0]
+    expected = [re.sub("[^a-z0-9]+", "-", f"x{plain(c)}y".lower()) for c in chars]
+    rows = spark.createDataFrame([(i, f"x{c}y") for i, c in enumerate(chars)], "i int, v string")
+    got = [r[0] for r in rows.orderBy("i").select(text.ascii_slug(F.col("v"))).collect()]
+    assert [(c, g) for c, g, e in zip(chars, got, expected, strict=True) if g != e] == []
+
+
 def test_sanitize(spark):
     raw = json.dumps(DIAGNOSTIC)
     got = json.loads(values(spark, [raw], jsontree.sanitize_json)[0])
