@@ -37,6 +37,29 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+BUCKETS = 200
+
+
+def write_bucketed_corpus(corpus: DataFrame, table: str, folder: str, *, buckets: int = BUCKETS) -> DataFrame:
+    """Keep a corpus as a table of buckets by path, each sorted by path, and return it.
+
+    Entries, candidates and roles are joined to contents by path. Over this table such a join moves the
+    narrow side alone, as long as a shuffle has no more partitions than the table has buckets: contents
+    are read bucket by bucket where they lie. Give as many buckets as keep one within a task's memory."""
+    dealt = corpus.repartition(buckets, "relative_path")
+    dealt.write.bucketBy(buckets, "relative_path").sortBy("relative_path").option("path", folder).saveAsTable(table)
+    return corpus.sparkSession.table(table)
+
+
+def open_bucketed_corpus(spark: SparkSession, table: str, folder: str, schema: str, *, buckets: int = BUCKETS) -> DataFrame:
+    """The same table in a session whose catalog does not know it yet."""
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({schema}) USING parquet OPTIONS (path '{folder}')"
+        f" CLUSTERED BY (relative_path) SORTED BY (relative_path) INTO {int(buckets)} BUCKETS"
+    )
+    return spark.table(table)
+
+
 def candidate_filter(corpus: DataFrame, candidates: DataFrame) -> DataFrame:
     """Restrict a corpus to listed paths; a listed path that is absent stays as ``missing``."""
     listed = candidates.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docwarden.operators import preflight as P
+from docwarden.operators import export, preflight as P
 from docwarden.operators.digests import fold_digests
 from docwarden.sources import corpus as C, tables as S
 from workloads import corpus_queries as Q, inputs as I, oracle as O
@@ -43,6 +43,17 @@ def staged_round_trip(spark, d):
     return S.read_staged(spark, folder, "run-1").groupBy(F.sha2("content", 256).alias("exported_sha256")).agg(F.count("*").alias("texts"))
 
 
+@query("bucketed_items", f"{O.BOTH} SELECT document_id, sha256(exported_text) AS content_sha256 {Q._DUE}")
+def bucketed_items(spark, d):
+    """Contents from a table of buckets by path, which the join does not move."""
+    folder = scratch_folder(spark, "bucketed")
+    table = f"corpus_{folder.rpartition('-')[2]}"
+    corpus = C.write_bucketed_corpus(I.corpus(spark, d, "cur"), table, folder, buckets=32)
+    snap = Q.snapshot(spark, d)
+    items = export.export_items(snap.entries, corpus, snap.staged, exported_at="2026-09-01T12:00:00+02:00", run_id="run-1")
+    return items.select("document_id", F.sha2("content", 256).alias("content_sha256"))
+
+
 @query(
     "audit_log",
     """SELECT 'user-' || user_id AS operation_id, event_type AS phase, CASE WHEN event_type <> 'view' THEN event_id END AS item_count FROM events
