@@ -45,6 +45,17 @@ def fold_digests(digests: DataFrame, *, column: str = "digest", depth: int = 2)
     )
 
 
+LEAF_DIGESTS = 4096
+
+
+def digest_depth(rows: int) -> int:
+    """Levels of a fold over so many rows, so that a leaf holds about LEAF_DIGESTS of them at most."""
+    depth = 1
+    while rows > LEAF_DIGESTS * 256**depth:
+        depth += 1
+    return depth
+
+
 def entry_digest_columns() -> dict[str, Column]:
     columns = {name: F.col(name) for name in ENTRY_COLUMNS}
     columns["metadata"] = F.array_sort(F.map_entries("metadata"))

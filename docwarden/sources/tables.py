@@ -10,7 +10,7 @@ from docwarden.functions.jsontree import has_secrets, is_json_object
 from docwarden.functions.secrets import has_credential_value
 from docwarden.operators.audit import accepted_events, reject_secrets
 from docwarden.operators.checks import ViolationError, require_none
-from docwarden.operators.digests import snapshot_digest
+from docwarden.operators.digests import digest_depth, snapshot_digest
 from docwarden.operators.entries import ENTRY_COLUMNS, ENTRY_SCHEMA
 
 SNAPSHOT_SCHEMA = ENTRY_SCHEMA + ", section string"
@@ -27,12 +27,14 @@ AUDIT_SCHEMA = (
 )
 
 
-def write_snapshot(compared: DataFrame, path: str, run_id: str, *, depth: int = 2) -> None:
-    """Entries and deleted rows of one run, then its digest over the rows as written."""
+def write_snapshot(compared: DataFrame, path: str, run_id: str, *, depth: int | None = None) -> None:
+    """Entries and deleted rows of one run, then its digest over the rows as written. The fold is as deep
+    as the number of rows asks for; the depth is stored beside the digest."""
     spark = compared.sparkSession
     target = f"{path}/rows/run_id={run_id}"
     compared.select(*ENTRY_COLUMNS, "section").write.mode("errorifexists").parquet(target)
     written = spark.read.schema(SNAPSHOT_SCHEMA).parquet(target)
+    depth = depth or digest_depth(written.count())
     snapshot_digest(written, depth=depth).withColumn("depth", F.lit(depth)).write.mode(
         "errorifexists"
     ).json(f"{path}/digests/run_id={run_id}")

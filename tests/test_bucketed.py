@@ -5,6 +5,7 @@ import re
 import pytest
 
 from docwarden.operators import export
+from docwarden.operators.digests import digest_depth
 from docwarden.plans.snapshot import build_snapshot
 from docwarden.operators.profile import Profile
 from docwarden.sources import corpus as C
@@ -51,3 +52,7 @@ def test_contents_are_not_exchanged(spark, tmp_path, no_broadcast):
     again = C.open_bucketed_corpus(spark, "kept_corpus", str(tmp_path / "kept"), "relative_path string, content string", buckets=16)
     assert rows(make(again)) == rows(make(docs))
     spark.sql("DROP TABLE kept_corpus")
+
+
+def test_a_fold_is_as_deep_as_its_rows_ask_for():
+    assert [digest_depth(n) for n in (0, 1, 4096 * 256, 4096 * 256 + 1, 10**9, 10**12)] == [1, 1, 1, 2, 3, 4]

@@ -190,8 +190,9 @@ def deleted_documents(spark, d):
       UNION ALL SELECT classification, 'deleted', size FROM deleted) GROUP BY classification, delta""",
 )
 def snapshot_flagship(spark, d):
+    """The whole plan: scan, classify, compare with the stored snapshot, write."""
     return (
-        compared(spark, d)
+        snapshot(spark, d).compared
         .groupBy("classification", "delta")
         .agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"))
     )
