@@ -69,7 +69,7 @@ def read_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at += 1
             continue
         stop = data.index(b"\n", at)
-        values = data[at:stop].decode().split(" ")
+        values = data[at:stop].decode("utf-8", "surrogateescape").split(" ")
         if fields is None:
             if not values[0].startswith("filedesc://"):
                 raise ValueError("an ARC file must begin with its version block")
@@ -117,7 +117,7 @@ def warc_record(header: dict[str, str], payload: bytes, page: str, refers_to: st
         fields |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_id(refers_to, digest), "WARC-Refers-To-Page": refers_to, "WARC-Payload-Length": str(len(payload))}
         payload = b""
     fields |= {"Content-Type": header["Content-type"], "Content-Length": str(len(payload))}
-    lines = [WARC_VERSION, *(f"{k}: {v}".encode() for k, v in fields.items())]
+    lines = [WARC_VERSION, *(f"{k}: {v}".encode("utf-8", "surrogateescape") for k, v in fields.items())]
     return CRLF.join(lines) + 2 * CRLF + payload
 
 
@@ -144,22 +144,26 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 # ---------------------------------------------------------------- Spark
 
 
-def _archives(parts: Iterator[tuple[bytes, int]], separator: bytes, limit: int, begin=lambda n: b"") -> Iterator[str]:
+OWN_MARK = re.compile(r"#page=(-|-?[0-9]+)&same=(-|-?[0-9]+)\Z")
+
+
+def _archives(parts: Iterator[bytes], separator: bytes, limit: int, begin=lambda n: b"") -> Iterator[bytes]:
     """Join records to archives of at most ``limit`` bytes, or of one record."""
     held, size, n = [], 0, 0
     for record in parts:
         if held and size + len(record) > limit:
-            yield (begin(n) + separator.join(held)).decode()
+            yield begin(n) + separator.join(held)
             held, size, n = [], 0, n + 1
         held.append(record)
         size += len(record)
     if held:
-        yield (begin(n) + separator.join(held)).decode()
+        yield begin(n) + separator.join(held)
 
 
 def _write(archives: DataFrame, path: str, separator: str) -> None:
+    """Payloads may be any bytes; the text writer writes a string's bytes as they are."""
     (
-        archives.write.option("maxRecordsPerFile", 1).option("lineSep", separator)
+        archives.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("lineSep", separator)
         .option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
     )
 
@@ -185,27 +189,31 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, archive_bytes: int
                     yield record
 
         for archive in _archives(records(), b"\n", archive_bytes, lambda n: arc_filedesc("pages.arc", version) + b"\n"):
-            yield pa.RecordBatch.from_arrays([pa.array([archive], pa.large_string()).cast(pa.string())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], names=["value"])
 
-    _write(pages.select("page_id", "url", "html", "refers_to").mapInArrow(work, "value string"), path, "\n")
+    _write(pages.select("page_id", "url", "html", "refers_to").mapInArrow(work, "value binary"), path, "\n")
 
 
 def arc_to_warc(spark: SparkSession, arc_path: str, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Convert every ARC file below ``arc_path``, whatever its version, to WARC files."""
+    """Convert every ARC file below ``arc_path``, whatever its version, to WARC files. A record of an archive
+    that :func:`write_arc` did not write is a response with its whole payload and has no page id."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
             for batch in batches:
                 for i in range(batch.num_rows):
                     for header, payload in read_arc(gzip.decompress(batch.column(0)[i].as_py())):
-                        url, _, mark = header["URL"].rpartition("#page=")
-                        page, _, target = mark.partition("&same=")
-                        yield warc_record(header | {"URL": url}, payload, page, None if target == "-" else target)
+                        own = OWN_MARK.search(header["URL"])
+                        if own is None:  # an archive that write_arc did not write: every record keeps its payload
+                            yield warc_record(header, payload, "-", None)
+                            continue
+                        page, target = own.groups()
+                        yield warc_record(header | {"URL": header["URL"][: own.start()]}, payload, page, None if target == "-" else target)
 
         for archive in _archives(records(), 2 * CRLF, archive_bytes):
-            yield pa.RecordBatch.from_arrays([pa.array([archive])], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], names=["value"])
 
-    _write(_read(spark, arc_path).mapInArrow(work, "value string"), path, "\r\n\r\n")
+    _write(_read(spark, arc_path).mapInArrow(work, "value binary"), path, "\r\n\r\n")
 
 
 def read_warc_pages(spark: SparkSession, path: str) -> DataFrame:
