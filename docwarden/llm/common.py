@@ -48,20 +48,30 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as it takes to differ from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def matching_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``docs``, with all columns, whose id and text hash are in ``kept`` (doc_id, text_hash).
+    Other columns may have any names. A null id matches a null id; an empty table gives no rows.
     Where ``docs`` repeats such a row, one of the copies is returned; whether it does is looked up in
     the narrow columns first, so that whole rows are grouped only then."""
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    kept_id, kept_hash = free_name(docs, "_kept_id"), free_name(docs, "_kept_hash")
+    kept = kept.select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash)).distinct()
     mark = F.xxhash64(docs["text"])
-    wanted = docs["doc_id"].cast("long").eqNullSafe(F.col("_kept_id")) & (mark == F.col("_kept_hash"))
+    wanted = docs["doc_id"].cast("long").eqNullSafe(F.col(kept_id)) & (mark == F.col(kept_hash))
     narrow = docs.select(docs["doc_id"], docs["text"]).select("doc_id", F.xxhash64("text").alias("mark"))
     if narrow.groupBy("doc_id", "mark").count().filter("count > 1").isEmpty():
         return docs.join(kept, wanted, "left_semi")
     names = docs.columns
     row = F.struct(*[docs[c] for c in names])
     one = docs.select(docs["doc_id"].alias("_id"), mark.alias("_mark"), row.alias("_row")).groupBy("_id", "_mark").agg(F.first("_row").alias("_row"))
-    one = one.join(kept, F.col("_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_mark") == F.col("_kept_hash")), "left_semi")
+    one = one.join(kept, F.col("_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col("_mark") == F.col(kept_hash)), "left_semi")
     return one.select("_row.*")
 
 

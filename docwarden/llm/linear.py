@@ -38,11 +38,17 @@ def hash_of(word: str) -> int:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` labelled rows with their text. The chosen labels are broadcast: ``limit`` rows
-    bound their size."""
+    """At most ``limit`` labelled rows with their text, numbered by ``sample_row``. The chosen labels are
+    broadcast: ``limit`` rows bound their size. Where ids are repeated, in ``docs`` or ``labels``, the
+    pairs may be more; a hash of the whole pair then chooses ``limit`` of them."""
     chosen = labels.orderBy(F.xxhash64("doc_id"), *labels.columns).limit(limit)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return durable(rows.join(F.broadcast(chosen), "doc_id"), "llm-sample")
+    pairs = durable(rows.join(F.broadcast(chosen), "doc_id").withColumn("sample_row", F.monotonically_increasing_id()), "llm-sample")
+    if pairs.count() <= limit:
+        return pairs
+    order = F.xxhash64(*[c for c in pairs.columns if c != "sample_row"])
+    some = pairs.select("sample_row", order.alias("order")).orderBy("order", "sample_row").limit(limit)
+    return durable(pairs.join(F.broadcast(some.select("sample_row")), "sample_row", "left_semi"), "llm-sample")
 
 
 def distinct_terms(sample: DataFrame) -> DataFrame:
@@ -65,24 +71,24 @@ def distinct_terms(sample: DataFrame) -> DataFrame:
 
 def one_of_copies(words: DataFrame) -> DataFrame:
     """The sample with one row of each group of near copies, the smallest id: else the words of a text
-    that is there ten times would look like evidence of ten. Rows are copies when one of four runs of
+    that is there ten times would look like evidence of ten; of a repeated id, the first row. Rows are copies when one of four runs of
     their sorted word hashes agrees; short rows when all words agree. The keys of at most the sample's
     bounded number of rows are compared on the driver."""
     size = F.size("words")
     runs = [F.slice("words", 1, 6), F.slice("words", 7, 6), F.slice("words", size - 5, 6), F.slice("words", size - 11, 6)]
     keys = [F.xxhash64(F.lit(i), F.when(size >= 24, run).otherwise(F.col("words"))).alias(f"k{i}") for i, run in enumerate(runs)]
-    rows = words.select("doc_id", *keys).toArrow().to_pydict()
-    order = sorted(range(len(rows["doc_id"])), key=lambda i: rows["doc_id"][i])
+    rows = words.select("doc_id", "sample_row", *keys).toArrow().to_pydict()
+    order = sorted(range(len(rows["doc_id"])), key=lambda i: (rows["doc_id"][i], rows["sample_row"][i]))
     leader: dict[int, int] = {}
     kept = []
     for i in order:
         mine = {rows[f"k{k}"][i] for k in range(len(keys))}
         if not any(key in leader for key in mine):
-            kept.append((rows["doc_id"][i],))
+            kept.append((rows["sample_row"][i],))
         for key in mine:
             leader.setdefault(key, i)
-    chosen = words.sparkSession.createDataFrame(kept or [(None,)], "doc_id long").distinct()
-    return words.join(F.broadcast(chosen), "doc_id", "left_semi")
+    chosen = words.sparkSession.createDataFrame(kept or [(None,)], "sample_row long")
+    return words.join(F.broadcast(chosen), "sample_row", "left_semi")
 
 
 def vocabulary(words: DataFrame, targets: list[Column], size: int = VOCABULARY) -> np.ndarray:
@@ -123,18 +129,18 @@ def term_features(vocab: np.ndarray, texts: list[bytes]) -> np.ndarray:
 
 
 def training_rows(sample: DataFrame, terms: DataFrame, vocab: np.ndarray, columns: list[str]) -> pa.Table:
-    """Features (``x``) and ``columns`` of the rows of ``terms``, brought to the driver: at most as many
-    as the sample's bound, each of twice the vocabulary's numbers."""
+    """Features (``x``) and ``columns`` of the rows of ``terms``, one each, brought to the driver: at most
+    as many as the sample's bound, each of twice the vocabulary's numbers."""
     width = 2 * len(vocab)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             x = term_features(vocab, text_bytes(block.column(1)))
             offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * width)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["sample_row", "x"])
 
-    made = sample.select("doc_id", "text").distinct().mapInArrow(work, "doc_id long, x array<float>")
-    return made.join(terms.select("doc_id", *columns), "doc_id").toArrow()
+    made = sample.select("sample_row", "text").mapInArrow(work, "sample_row long, x array<float>")
+    return made.join(terms.select("sample_row", *columns), "sample_row").toArrow()
 
 
 def matrix(rows: pa.Table, vocab: np.ndarray) -> np.ndarray:

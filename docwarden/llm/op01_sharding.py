@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docwarden.llm.common import documents, durable, query
+from docwarden.llm.common import documents, durable, free_name, query
 
 SHARD_BYTES = 4 << 20
 RECORD_BYTES = 16
@@ -77,16 +77,24 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     A null text has no bytes besides the record's own, a null id hashes as an empty one. Rows that
     repeat an id may part. ``shard_bytes`` exceeds ``limit`` only where ``shard_rows`` is 1. An empty
     table gives no rows."""
-    rows = durable(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            (F.coalesce(F.octet_length("text"), F.lit(0)) + RECORD_BYTES).cast("long").alias("n_bytes"),
-            hash_bits(F.col("doc_id")).alias("code"),
-            F.monotonically_increasing_id().alias("row"),
-            F.lit("").alias("parent"),
-        ),
-        "op1-rows",
+    rows = durable(_records(docs["doc_id"], docs["text"], docs, F.monotonically_increasing_id()), "op1-rows")
+    first = _place_records(rows, limit)
+    sizes = first.groupBy("shard_id").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
+    return first.join(sizes, "shard_id").select("doc_id", "n_bytes", "shard_id", F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows")
+
+
+def _records(doc_id: Column, text: Column, held: DataFrame, row: Column) -> DataFrame:
+    return held.select(
+        doc_id.cast("long").alias("doc_id"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + RECORD_BYTES).cast("long").alias("n_bytes"),
+        hash_bits(doc_id).alias("code"),
+        row.alias("row"),
+        F.lit("").alias("parent"),
     )
+
+
+def _place_records(rows: DataFrame, limit: int) -> DataFrame:
+    """Written records (``row`` tells them apart) with the ``shard_id`` and ``depth`` of their shard."""
     first = split_buckets(rows, limit).withColumn("shard_id", F.concat_ws(":", "depth", "prefix"))
     first = durable(first.drop("parent", "prefix"), "op1-shards")
     sizes = first.groupBy("shard_id").agg(F.sum("n_bytes").alias("n"), F.count("*").alias("k"))
@@ -96,15 +104,21 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         again = split_buckets(again.drop("depth"), limit).withColumn("shard_id", F.concat("parent", F.lit("/"), F.concat_ws(":", "depth", "prefix")))
         again = again.withColumn("depth", F.col("depth") + HASH_BITS).drop("parent", "prefix")
         first = durable(first.join(full, "shard_id", "left_anti").unionByName(again), "op1-all-shards")
-    sizes = first.groupBy("shard_id").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
-    return first.join(sizes, "shard_id").select("doc_id", "n_bytes", "shard_id", F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows")
+    return first
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
-    """Write ``docs``, with all columns, as one folder per shard. Ids must be unique."""
-    shards = assign_shards(docs, limit).select(F.col("doc_id").alias("_shard_doc"), F.col("shard_id").alias("_shard"))
-    placed = docs.join(shards, docs["doc_id"].cast("long").eqNullSafe(F.col("_shard_doc"))).drop("_shard_doc")
-    placed.repartition("_shard").write.partitionBy("_shard").parquet(path)
+    """Write ``docs``, with all columns, as one folder ``_shard=...`` per shard (with more underscores
+    where ``docs`` has such a column). Every row is written once, whatever its id: rows are written
+    with a number first, and shards are joined by that. A null id hashes as an empty one, a null text
+    has no bytes; an empty table gives no folders."""
+    shard = free_name(docs, "_shard")
+    record = F.struct(*[docs[c] for c in docs.columns])
+    held = durable(docs.select(F.monotonically_increasing_id().alias("row"), record.alias("record")), "op1-records")
+    rows = durable(_records(held["record"]["doc_id"], held["record"]["text"], held, held["row"]), "op1-rows")
+    shards = _place_records(rows, limit).select("row", F.col("shard_id").alias("shard"))
+    placed = held.join(shards, "row").select("record.*", F.col("shard").alias(shard))
+    placed.repartition(shard).write.partitionBy(shard).parquet(path)
 
 
 @query("op1_sharding", oracle=f"""

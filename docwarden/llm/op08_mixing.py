@@ -75,7 +75,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], sample_r
     sample = labelled_sample(docs, labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "domain"), sample_rows)
     terms = distinct_terms(sample)
     marks = [(F.col("domain") == name).cast("int").alias(f"d{i}") for i, name in enumerate(names)]
-    terms = terms.select("doc_id", "words", *marks)
+    terms = terms.select("sample_row", "words", *marks)
     columns = [f"d{i}" for i in range(len(names))]
     vocab = vocabulary(terms, [F.col(c) for c in columns], VOCABULARY)
     rows = training_rows(sample, terms, vocab, columns)
