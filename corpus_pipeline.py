@@ -33,8 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of the domains ask for."""
-    return mix_documents(docs, label_domains(_labels(spark, sf_dir)))
+    """Documents as often as the target weights of the domains ask for; clean ones all stay."""
+    return mix_documents(docs, label_domains(_labels(spark, sf_dir)), keep="clean")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
