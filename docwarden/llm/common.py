@@ -79,7 +79,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: What Spark hands a worker at once; a longer row is a batch of its own.
 
 
@@ -91,6 +91,7 @@ def bound_batches(spark: SparkSession) -> None:
 def release() -> None:
     """Give memory that a worker has freed back to the machine: workers outlive their tasks, and the
     allocators would keep the largest block's pages for the next one."""
+    _POWERS.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
     if trim is not None:

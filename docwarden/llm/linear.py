@@ -9,12 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docwarden.llm.common import ASCII_LOWER, blocks, durable, inside_table, joined, span_hashes, spans, text_bytes
+from docwarden.llm.common import ASCII_LOWER, blocks, bound_batches, durable, inside_table, joined, span_hashes, spans, text_bytes
 
 SAMPLE_ROWS = 8_000
 #: Bound of the labelled rows a model is fitted to, chosen by a hash of their id.
 VOCABULARY = 256
 GRAM = 6
+TERM_BLOCK_BYTES = 1 << 18
+#: Texts whose terms are looked up in one step: a block takes some 200 times its bytes in arrays.
 MIN_DOCUMENTS = 5
 EXTRA_VARIANCE, LEAST_SCORE = 4.0, 25.0
 
@@ -41,6 +43,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame
     """At most ``limit`` labelled rows with their text, numbered by ``sample_row``. The chosen labels are
     broadcast: ``limit`` rows bound their size. Where ids are repeated, in ``docs`` or ``labels``, the
     pairs may be more; a hash of the whole pair then chooses ``limit`` of them."""
+    bound_batches(docs.sparkSession)
     chosen = labels.orderBy(F.xxhash64("doc_id"), *labels.columns).limit(limit)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     pairs = durable(rows.join(F.broadcast(chosen), "doc_id").withColumn("sample_row", F.monotonically_increasing_id()), "llm-sample")
@@ -56,7 +59,7 @@ def distinct_terms(sample: DataFrame) -> DataFrame:
     names = [c for c in sample.columns if c != "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", TERM_BLOCK_BYTES):
             owner, hashes = term_hashes(text_bytes(block.column(block.schema.get_field_index("text"))))
             order = np.argsort(owner, kind="stable")
             owner, hashes = owner[order], hashes[order]
@@ -134,7 +137,7 @@ def training_rows(sample: DataFrame, terms: DataFrame, vocab: np.ndarray, column
     width = 2 * len(vocab)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", TERM_BLOCK_BYTES):
             x = term_features(vocab, text_bytes(block.column(1)))
             offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * width)
             yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["sample_row", "x"])

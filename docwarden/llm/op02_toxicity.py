@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwarden.llm.common import blocks, documents, query, text_bytes
-from docwarden.llm.linear import SAMPLE_ROWS, distinct_terms, fit_logistic, hash_of, labelled_sample, matrix, predict, term_features, training_rows, vocabulary
+from docwarden.llm.linear import SAMPLE_ROWS, TERM_BLOCK_BYTES, distinct_terms, fit_logistic, hash_of, labelled_sample, matrix, predict, term_features, training_rows, vocabulary
 
 CATEGORIES = ("insult", "contempt", "toxic")
 FOLDS = 5
@@ -88,7 +88,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     names = ["doc_id", *(f"p_{c}" for c in CATEGORIES)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", TERM_BLOCK_BYTES):
             p = chain.score(term_features(chain.vocab, text_bytes(block.column(1))))
             yield pa.RecordBatch.from_arrays([block.column(0), *(pa.array(p[:, k]) for k in range(len(CATEGORIES)))], names=names)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docwarden.llm.common import BLOCK_BYTES, blocks, documents, durable, inside_table, joined, query, spans, text_bytes
-from docwarden.llm.linear import SAMPLE_ROWS, distinct_terms, fit_logistic, labelled_sample, matrix, predict, term_features, training_rows, vocabulary
+from docwarden.llm.linear import SAMPLE_ROWS, TERM_BLOCK_BYTES, distinct_terms, fit_logistic, labelled_sample, matrix, predict, term_features, training_rows, vocabulary
 
 TARGETS = {"clean": 0.9, "junk": 0.06, "toxic": 0.04}
 #: Shares of the tokens of the mix.
@@ -88,7 +88,7 @@ def posterior_table(docs: DataFrame, domains: Domains) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(domains.names)
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", TERM_BLOCK_BYTES):
             texts = text_bytes(block.column(1))
             p = domains.posteriors(texts)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * k), pa.array(p.ravel()))
@@ -269,7 +269,7 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, fl
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks([batch.rename_columns([str(i) for i in range(batch.num_columns)])], str(place)):
+            for block in blocks([batch.rename_columns([str(i) for i in range(batch.num_columns)])], str(place), TERM_BLOCK_BYTES):
                 texts = text_bytes(block.column(place))
                 p = domains.posteriors(texts)
                 rate = np.ones(len(p))

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwarden.llm.common import blocks, bound_batches, documents, query
 
+DIGEST_BLOCK_BYTES, ENCODE_BLOCK_BYTES = 4 << 20, 1 << 20
+#: Texts encoded together. Where ids and texts are returned, not their digests, results take memory too.
 KNOWN_WORDS = 150_000
 #: Encoded pre-tokens a task remembers from block to block; beyond it the memory starts anew.
 
@@ -253,7 +255,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     named = path or default_path()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, coded in _encoded(batches, named):
+        for block, coded in _encoded(batches, named, ENCODE_BLOCK_BYTES):
             ends = np.cumsum([0] + [len(ids) // 4 for ids, _ in coded]).astype(np.int32)
             flat = np.frombuffer(b"".join(ids for ids, _ in coded), dtype="<i4")
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
@@ -270,7 +272,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, coded in _encoded(batches, named):
+        for block, coded in _encoded(batches, named, DIGEST_BLOCK_BYTES):
             yield pa.RecordBatch.from_arrays(
                 [
                     block.column(0),
@@ -289,9 +291,9 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, str]]]]:
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, str]]]]:
     model = tokenizer(path)
-    for block in blocks(batches, "text", 4 << 20):
+    for block in blocks(batches, "text", limit):
         yield block, model.encode(block.column(1).to_pylist())
 
 
