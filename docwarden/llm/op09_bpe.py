@@ -8,7 +8,11 @@ only create pairs with a later rank or a smaller one that did not occur, ranks w
 that becomes active again below the current one is taken up next, and per pre-token the order of
 merges is that of the usual greedy algorithm.
 
-The vocabulary is read from a file on each task's machine, named by a parameter.
+Decoding starts from the ids of a block alone: each id's symbol is looked up in the vocabulary and the
+symbols of a text are joined.
+
+The vocabulary is read from a file on each task's machine, named by a parameter. Normaliser,
+pre-tokenizer and decoder are those of ``COMPONENTS``; a file that names others is refused.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -41,6 +46,21 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 NOT_SPACES = re.compile("[\x1c-\x1f]")
 #: str.split() takes these for white space as well.
+# The components of the file that this module follows.
+COMPONENTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": PIECES.pattern}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "decoder": None,
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
 # What the tokenizer's Unicode version 16 has and Python's 15.1 has not. Other code
 # points that Python does not know are no letters or numbers, whatever the pattern library knows.
 SINCE_16 = (
@@ -141,15 +161,24 @@ class PairIndex:
         return out
 
 
+def differing(given: dict) -> list[str]:
+    """Names of the components of a tokenizer file that differ from those this module follows."""
+    names = [name for name, wanted in COMPONENTS.items() if given.get(name) != wanted]
+    names += [f"model.{name}" for name, wanted in MODEL.items() if (given["model"].get(name) or None) != (wanted or None)]
+    return names + [f"added token {t['content']}" for t in given["added_tokens"] if any(t.get(k, False) != v for k, v in ADDED.items())]
+
+
 class WordBpe:
-    """The file's tokenizer: added tokens, normaliser, pre-tokenizer, ranked merges, decoder."""
+    """The file's tokenizer: added tokens, normaliser, pre-tokenizer, ranked merges, decoder. A file
+    with other components than ``COMPONENTS`` is a ValueError."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             given = json.load(file)
+        if others := differing(given):
+            raise ValueError(f"{path} names components that are not implemented: {', '.join(others)}")
         model = given["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.names = {i: name for name, i in self.vocab.items()}
         self.end = model.get("end_of_word_suffix") or ""
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         ranks: dict[tuple[int, int], tuple[int, int]] = {}
@@ -157,10 +186,11 @@ class WordBpe:
             ranks[self.vocab[a], self.vocab[b]] = rank, self.vocab[a + b]
         self.index = PairIndex(ranks)
         self.added = {t["content"]: t["id"] for t in given["added_tokens"]}
-        self.names |= {i: name for name, i in self.added.items()}
+        names = {i: name for name, i in (self.vocab | self.added).items()}
+        self.symbols = pa.array([names.get(i) for i in range(max(names) + 1)], pa.large_string())
         self.added_at = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.bytes = byte_symbols()
-        self.known: dict[str, tuple[bytes, str]] = {name: (struct.pack("<I", i), name) for name, i in self.added.items()}
+        self.known: dict[str, bytes] = {name: struct.pack("<I", i) for name, i in self.added.items()}
         self.fixed = len(self.known)
 
     def chunks(self, text: str) -> list[str]:
@@ -210,21 +240,23 @@ class WordBpe:
         encoded = dict(zip(distinct, self.index.encode([self._symbols(p) for p in distinct]), strict=True))
         for chunk, part in zip(new, pieces, strict=True):
             ids = [i for piece in part for i in encoded[piece]]
-            self.known[chunk] = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids])
+            self.known[chunk] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text, of each text. Chunks
-        that occur once in the texts are forgotten afterwards."""
+        """Ids of each text, and the text that they decode to."""
+        ids = self.encode_ids(texts)
+        return list(zip(ids, self.decode_lists(id_lists(ids)).to_pylist(), strict=True))
+
+    def encode_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. Chunks that occur once in the
+        texts are forgotten afterwards."""
         chunked = [self.chunks(text) for text in texts]
         if len(self.known) > KNOWN_WORDS:
             self.forget()
         counts = Counter(chain.from_iterable(chunked))
         new = [chunk for chunk in counts if chunk not in self.known]
         self.learn(new)
-        out = []
-        for chunks in chunked:
-            found = [self.known[chunk] for chunk in chunks]
-            out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])))
+        out = [b"".join([self.known[chunk] for chunk in chunks]) for chunks in chunked]
         for chunk in new:
             if counts[chunk] == 1:
                 del self.known[chunk]
@@ -233,9 +265,23 @@ class WordBpe:
     def forget(self) -> None:
         self.known = dict(list(self.known.items())[: self.fixed])
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """The decoded text of each list of ids. The file names no decoder: symbols, one blank between
+        them. An empty list gives an empty text, an id that the vocabulary has not an IndexError."""
+        symbols = pa.compute.take(self.symbols, lists.values)
+        if symbols.null_count:
+            raise IndexError("an id is not in the vocabulary")
+        return pa.compute.binary_join(pa.ListArray.from_arrays(lists.offsets, symbols), pa.scalar(" ", pa.large_string()))
+
     def decode(self, ids: bytes) -> str:
-        """The file names no decoder: symbols, one blank between them."""
-        return " ".join([self.names[i] for (i,) in struct.iter_unpack("<I", ids)])
+        """The decoded text of one text's ids, little-endian unsigned 32-bit integers."""
+        return self.decode_lists(id_lists([ids]))[0].as_py()
+
+
+def id_lists(ids: list[bytes]) -> pa.ListArray:
+    """Arrow lists of the ids of each text."""
+    ends = np.cumsum([0] + [len(part) // 4 for part in ids]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
 
 
 @lru_cache(maxsize=2)
@@ -255,11 +301,10 @@ def bpe_encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     named = path or default_path()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, coded in _encoded(batches, named, ENCODE_BLOCK_BYTES):
-            ends = np.cumsum([0] + [len(ids) // 4 for ids, _ in coded]).astype(np.int32)
-            flat = np.frombuffer(b"".join(ids for ids, _ in coded), dtype="<i4")
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([block.column(0), ids, pa.array([text for _, text in coded], pa.string())], names=["doc_id", "ids", "decoded"])
+        model = tokenizer(named)
+        for block in blocks(batches, "text", ENCODE_BLOCK_BYTES):
+            ids = id_lists(model.encode_ids(block.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([block.column(0), ids, model.decode_lists(ids).cast(pa.string())], names=["doc_id", "ids", "decoded"])
 
     return _plain(docs).mapInArrow(work, "doc_id long, ids array<int>, decoded string")
 
@@ -272,13 +317,16 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, coded in _encoded(batches, named, DIGEST_BLOCK_BYTES):
+        model = tokenizer(named)
+        for block in blocks(batches, "text", DIGEST_BLOCK_BYTES):
+            ids = model.encode_ids(block.column(1).to_pylist())
+            decoded = model.decode_lists(id_lists(ids)).cast(pa.large_binary())
             yield pa.RecordBatch.from_arrays(
                 [
                     block.column(0),
-                    pa.array([len(ids) // 4 for ids, _ in coded], pa.int64()),
-                    pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in coded]),
-                    pa.array([hashlib.sha256(text.encode()).hexdigest() for _, text in coded]),
+                    pa.array([len(part) // 4 for part in ids], pa.int64()),
+                    pa.array([hashlib.sha256(part).hexdigest() for part in ids]),
+                    pa.array([hashlib.sha256(text.as_buffer()).hexdigest() for text in decoded]),
                 ],
                 schema=schema,
             )
@@ -291,12 +339,6 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, str]]]]:
-    model = tokenizer(path)
-    for block in blocks(batches, "text", limit):
-        yield block, model.encode(block.column(1).to_pylist())
-
-
 @query("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir))
