@@ -93,38 +93,41 @@ class PairIndex:
     """Symbols of many pre-tokens in one linked list, and the positions of each ranked pair."""
 
     def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]]) -> None:
-        self.ranks = ranks  # pair of ids -> (rank, id of the merged symbol)
-
-    def encode(self, words: list[list[int]]) -> list[list[int]]:
-        ranks = self.ranks
-        symbols: list[int] = []
-        after: list[int] = []  # position of the next symbol of the pre-token, or -1
-        before: list[int] = []
-        index: dict[tuple[int, int], list[int]] = {}
-        heads = []
-        for word in words:
-            head = at = len(symbols)
-            heads.append(head)
-            symbols += word
-            before += [-1, *range(head, head + len(word) - 1)] if word else []
-            after += [*range(head + 1, head + len(word)), -1] if word else []
-            for pair in zip(word, word[1:]):
-                if pair in ranks:
-                    if pair in index:
-                        index[pair].append(at)
-                    else:
-                        index[pair] = [at]
-                at += 1
-        active = [(ranks[pair][0], pair) for pair in index]
+        """``ranks``: pair of ids -> (rank, id of the merged symbol). A pair is held as one number."""
+        self.wide = 1 + max((max(a, b, merged) for (a, b), (_, merged) in ranks.items()), default=0)
+        self.rank_of = {a * self.wide + b: rank for (a, b), (rank, _) in ranks.items()}
+        self.merge_of = {rank: (a, b, merged) for (a, b), (rank, merged) in ranks.items()}
+
+    def occurrences(self, symbols: np.ndarray, after: np.ndarray) -> dict[int, list[int]]:
+        """Positions of the left symbol of every ranked pair, ascending."""
+        lefts = np.flatnonzero(after >= 0)
+        pairs = symbols[lefts] * self.wide + symbols[lefts + 1]
+        order = np.argsort(pairs, kind="stable")
+        keys, starts = np.unique(pairs[order], return_index=True)
+        places, bounds = lefts[order].tolist(), [*starts.tolist(), len(order)]
+        return {key: places[bounds[n] : bounds[n + 1]] for n, key in enumerate(keys.tolist()) if key in self.rank_of}
+
+    def encode(self, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens of ``lengths`` symbols, one behind the other in ``first``; their ids after
+        all merges and the number of each one's."""
+        ends = np.cumsum(lengths)
+        filled = lengths > 0
+        after_all, before_all = np.arange(1, len(first) + 1), np.arange(-1, len(first) - 1)
+        after_all[ends[filled] - 1] = -1
+        before_all[(ends - lengths)[filled]] = -1
+        rank_of, merge_of, wide = self.rank_of, self.merge_of, self.wide
+        index = self.occurrences(first, after_all)
+        symbols, after, before = first.tolist(), after_all.tolist(), before_all.tolist()
+        del after_all, before_all
+        active = [rank_of[pair] for pair in index]
         heapq.heapify(active)
         while active:
-            _, pair = heapq.heappop(active)
-            places = index.pop(pair, None)
+            left, right, merged = merge_of[heapq.heappop(active)]
+            places = index.pop(left * wide + right, None)
             if places is None:
                 continue
-            left, right = pair
-            merged = ranks[pair][1]
             places.sort()  # overlapping places, as in "aaa", are taken from the left
+            from_merged = merged * wide
             for at in places:
                 if symbols[at] != left:
                     continue
@@ -135,30 +138,30 @@ class PairIndex:
                 far = after[at] = after[nxt]
                 if far >= 0:
                     before[far] = at
-                    new = (merged, symbols[far])
-                    if new in ranks:
+                    new = from_merged + symbols[far]
+                    if new in rank_of:
                         if new in index:
                             index[new].append(at)
                         else:
                             index[new] = [at]
-                            heapq.heappush(active, (ranks[new][0], new))
+                            heapq.heappush(active, rank_of[new])
                 near = before[at]
                 if near >= 0:
-                    new = (symbols[near], merged)
-                    if new in ranks:
+                    new = symbols[near] * wide + merged
+                    if new in rank_of:
                         if new in index:
                             index[new].append(near)
                         else:
                             index[new] = [near]
-                            heapq.heappush(active, (ranks[new][0], new))
-        out = []
-        for head, word in zip(heads, words, strict=True):
-            ids, at = [], head if word else -1
-            while at >= 0:
-                ids.append(symbols[at])
-                at = after[at]
-            out.append(ids)
-        return out
+                            heapq.heappush(active, rank_of[new])
+        merged_all = np.array(symbols, dtype=np.int64)
+        left_over = merged_all >= 0
+        return merged_all[left_over], counts_of(left_over, ends)
+
+
+def counts_of(marks: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many of ``marks`` are true in each run; ``ends`` are the runs' ends."""
+    return np.diff(np.concatenate([[0], np.cumsum(marks)])[np.concatenate([[0], ends])])
 
 
 def differing(given: dict) -> list[str]:
@@ -179,7 +182,6 @@ class WordBpe:
             raise ValueError(f"{path} names components that are not implemented: {', '.join(others)}")
         model = given["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.end = model.get("end_of_word_suffix") or ""
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(merges):
@@ -189,7 +191,8 @@ class WordBpe:
         names = {i: name for name, i in (self.vocab | self.added).items()}
         self.symbols = pa.array([names.get(i) for i in range(max(names) + 1)], pa.large_string())
         self.added_at = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.bytes = byte_symbols()
+        end = model.get("end_of_word_suffix") or ""
+        self.inner_ids, self.last_ids = (np.array([self.vocab.get(name + tail, -1) for name in byte_symbols()]) for tail in ("", end))
         self.known: dict[str, bytes] = {name: struct.pack("<I", i) for name, i in self.added.items()}
         self.fixed = len(self.known)
 
@@ -216,10 +219,18 @@ class WordBpe:
             return [part for part in SPACES.split(text) if part]
         return text.split()
 
-    def _symbols(self, piece: str) -> list[int]:
-        names = [self.bytes[b] for b in piece.encode()]
-        names[-1] += self.end
-        return [self.vocab[name] for name in names if name in self.vocab]
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece. A piece has at least one byte; bytes without a symbol are left out."""
+        raw = [piece.encode() for piece in pieces]
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))
+        symbols = self.inner_ids[data]
+        symbols[ends - 1] = self.last_ids[data[ends - 1]]
+        has = symbols >= 0
+        ids, counts = self.index.encode(symbols[has], counts_of(has, ends))
+        flat = ids.astype("<u4").tobytes()
+        bounds = [0, *(4 * np.cumsum(counts)).tolist()]
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
 
     @staticmethod
     def _pieces(chunk: str) -> list[str]:
@@ -236,11 +247,10 @@ class WordBpe:
     def learn(self, new: list[str]) -> None:
         """Encode chunks that are not known yet, all together."""
         pieces = [self._pieces(chunk) for chunk in new]
-        distinct = list({piece for part in pieces for piece in part})
-        encoded = dict(zip(distinct, self.index.encode([self._symbols(p) for p in distinct]), strict=True))
+        distinct = list(dict.fromkeys(chain.from_iterable(pieces)))
+        encoded = dict(zip(distinct, self._encoded(distinct), strict=True))
         for chunk, part in zip(new, pieces, strict=True):
-            ids = [i for piece in part for i in encoded[piece]]
-            self.known[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+            self.known[chunk] = b"".join([encoded[piece] for piece in part])
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Ids of each text, and the text that they decode to."""
