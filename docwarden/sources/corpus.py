@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwarden.functions.paths import normalize_path
@@ -32,6 +38,45 @@ def scan_corpus(
     return candidate_filter(files, candidates) if candidates is not None else files
 
 
+FOLDER_FILES = 4096
+#: Files of one folder, so that a reader lists many folders side by side instead of one in the driver.
+
+
+def write_text_files(texts: DataFrame, root: str) -> int:
+    """Write every row of ``text`` as a file of its own with a line end (a null: the line end alone), and
+    return their number.
+
+    Hadoop's local file system without its native library starts a process for every file it makes, to set
+    the permissions; below a local root the tasks therefore open the files themselves. A file gets its name
+    when it is whole, and the same one if its task runs again."""
+    spark = texts.sparkSession
+    texts = texts.select(F.col("text").cast("string").alias("text"))
+    home = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files_of = home.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files_of.mkdirs(home)
+    where = files_of.makeQualified(home).toUri()
+    if where.getScheme() != "file":
+        texts.write.mode("append").option("maxRecordsPerFile", 1).text(root)
+        return texts.count()
+    folder = where.getPath()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                at = f"{folder}/part-{part:05d}-{n // FOLDER_FILES:05d}"
+                if n % FOLDER_FILES == 0:
+                    os.makedirs(at, exist_ok=True)
+                half = f"{at}/.{uuid.uuid4().hex}"
+                with open(half, "wb") as file:
+                    file.write((text or "").encode() + b"\n")
+                os.replace(half, f"{at}/{n:09d}.txt")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    return texts.mapInArrow(write, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).head()[0]
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """A corpus kept as a table."""
     return spark.read.parquet(path)

@@ -237,6 +237,21 @@ def test_scan_cuts_the_root_from_the_front(spark, tmp_path):
     assert got == {"readme.md", "sub/it's docs/readme.md"}
 
 
+def test_every_row_is_a_file_of_its_own(spark, tmp_path):
+    root = tmp_path / "it's 100%20 files"
+    texts = ["a", "a", "", None, "two\nlines", "\u00e9" * 70_000] + [f"n{i}" for i in range(4_200)]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").coalesce(1)
+    assert C.write_text_files(rows, f"file:{root}") == len(texts)
+    want = sorted(hashlib.sha256((x or "").encode() + b"\n").hexdigest() for x in texts)
+    assert sorted(r[0] for r in C.scan_corpus(spark, str(root), glob="*.txt").select("source_sha256").collect()) == want
+    # Nothing beside the files (no checksum files, which cost a process each), in folders of bounded size.
+    made = [x for x in root.rglob("*") if x.is_file()]
+    assert len(made) == len(texts) and {x.suffix for x in made} == {".txt"}
+    assert max(len(list(x.iterdir())) for x in root.iterdir()) == C.FOLDER_FILES
+    assert C.write_text_files(rows.filter("false"), str(tmp_path / "none")) == 0
+    assert C.scan_corpus(spark, str(tmp_path / "none"), glob="*.txt").count() == 0
+
+
 def test_log_reports_what_it_leaves_out(spark, tmp_path):
     rows = [("1", '{"a": 1}'), ("2", "password: plum"), ("3", "[1]"), ("4", '{"a": 1, "a": {"password": "x"}}')]
     events = spark.createDataFrame(rows, "k string, event string")

@@ -20,7 +20,7 @@ def corpus_scan(spark, d):
     """Every document as a file of its own."""
     folder = scratch_folder(spark, "files")
     texts = I.table(spark, d, "documents").select("text")
-    texts.write.option("maxRecordsPerFile", 1).text(folder)
+    C.write_text_files(texts, folder)
     return C.scan_corpus(spark, folder, glob="*.txt").groupBy("source_sha256", "size").agg(F.count("*").alias("files"))
 
 
