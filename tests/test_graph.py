@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docwarden.operators import graph as G
-from docwarden.operators.skew import lookup_join, rank_within
+from docwarden.operators.skew import large_groups, lookup_join, rank_within
 from docwarden.plans.capsules import graph_capsules
 
 NODES = [("route:home", "route", "Home", "/home"), ("entity:user", "entity", "User", "src/user.py"),
@@ -78,6 +78,34 @@ def test_hot_subject_is_ranked_over_many_tasks(spark):
     assert rank_within(subjects.filter("false"), "subject", G.EDGE_ORDER).count() == 0
 
 
+def test_groups_are_shuffled_once_and_hubs_in_slabs(spark):
+    rows = [("hub", f"t{i:05d}") for i in range(3000)] + [(None, f"t{i:05d}") for i in range(2500)]
+    rows += [(f"s{i % 50}", f"t{i:05d}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, o string").repartition(6)
+    assert sorted(large_groups(df, "g", 2000), key=str) == [None, "hub"]
+    plain, cut = rank_within(df, "g", ["o"]), rank_within(df, "g", ["o"], hub_rows=2000)
+    assert plain.count() == cut.count() == 6500 and plain.exceptAll(cut).count() == 0
+    assert plain.filter("g IS NULL").agg(F.max("rank"), F.max("total")).first() == (2500, 2500)
+    # Work by group goes on in the same partitions.
+    again = plain.groupBy("g", (F.col("rank") % 12).alias("part")).agg(F.collect_list("o"))
+    assert again._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_lookups_hash_the_small_side(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(1000).select("id", (F.col("id") % 7).alias("k"))
+        got = lookup_join(left, spark.range(5).select(F.col("id").alias("k"), F.lit(1).alias("v")), ["k"])
+        assert len(got.filter("v = 1").collect()) == sum(i % 7 < 5 for i in range(1000))
+        got = got.groupBy().count()
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_lookup_join_keeps_every_row(spark):
     left = spark.range(1000).select("id", F.when(F.col("id") < 900, "hot").otherwise("cold").alias("k"))
     right = spark.createDataFrame([("hot", 1)], "k string, v int")
