@@ -15,6 +15,7 @@ from docwarden.plans.export_batch import export_batch
 from docwarden.plans.snapshot import build_snapshot
 from docwarden.sources import corpus as C, tables as S
 from docwarden.streaming import jobs
+from workloads import inputs as I, source_queries
 
 PROFILE = Profile(project_slug="acme", operator="alice", scope="wiki")
 
@@ -252,6 +253,13 @@ def test_every_row_is_a_file_of_its_own(spark, tmp_path):
     assert C.scan_corpus(spark, str(tmp_path / "none"), glob="*.txt").count() == 0
 
 
+def test_graph_lines_are_written_compressed(spark, sf_dir):
+    read = source_queries.graph_read(spark, sf_dir)
+    held = [f for f in read.inputFiles() if "/edges/" in f]
+    assert held and all(f.endswith(".json.gz") for f in held)
+    assert read.agg(F.sum("edges")).first()[0] == I.edges(spark, sf_dir).count()
+
+
 def test_log_reports_what_it_leaves_out(spark, tmp_path):
     rows = [("1", '{"a": 1}'), ("2", "password: plum"), ("3", "[1]"), ("4", '{"a": 1, "a": {"password": "x"}}')]
     events = spark.createDataFrame(rows, "k string, event string")

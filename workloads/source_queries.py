@@ -93,8 +93,8 @@ def graph_read(spark, d):
     """Nodes and edges as JSON lines with a field that the schema does not know."""
     folder = scratch_folder(spark, "graph")
     nodes, edges = I.sql(spark, d, I.NODES, *I.NODE_TABLES), I.sql(spark, d, I.EDGES, *I.EDGE_TABLES)
-    nodes.withColumn("extra", F.lit(1)).write.json(f"{folder}/nodes")
-    edges.withColumn("extra", F.lit(1)).write.json(f"{folder}/edges")
+    nodes.withColumn("extra", F.lit(1)).write.json(f"{folder}/nodes", compression="gzip")
+    edges.withColumn("extra", F.lit(1)).write.json(f"{folder}/edges", compression="gzip")
     _, read = S.read_graph(spark, f"{folder}/nodes", f"{folder}/edges", format="json")
     return read.groupBy("type", "confidence").agg(F.count("*").alias("edges"), F.count_distinct("source").alias("sources"))
 
