@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from docwarden.llm.common import blocks, documents, durable, inside_table, joined, mix, query, span_hashes, spans
+from docwarden.llm.common import blocks, bound_batches, documents, durable, inside_table, joined, mix, query, span_hashes, spans
 
 CELLS = 18
 #: Cells of a fingerprint; a retry doubles them.
 PARTS = 3
+BLOCK_BYTES = 1 << 19
+#: Texts of one step; digests and sketches of both versions and of what follows take many times that.
 _INSIDE = inside_table(b"\n\r.!?\x00")
 _REPEAT = np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
@@ -181,7 +183,7 @@ def _edge(place: str, part: int, doc: int | None, text: str) -> pa.RecordBatch:
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of a sorted partition with their followers; its first and last row as they are."""
     part, last = TaskContext.get().partitionId(), None
-    for block in blocks(batches, "text", 2 << 20):
+    for block in blocks(batches, "text", BLOCK_BYTES):
         ids, texts = block.column(0).to_pylist(), block.column(1).to_pylist()
         if last is None:
             yield _edge("first", part, ids[0], texts[0])
@@ -195,7 +197,7 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, "text", 2 << 20):
+    for block in blocks(batches, "text", BLOCK_BYTES):
         yield fingerprint_block(*(block.column(i).to_pylist() for i in range(3)))
 
 
@@ -207,6 +209,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The next document is that of the next larger id, after the last the first; a null id comes before
     all others, and rows of one id follow each other by the hash of their text. A null or empty text
     has no paragraphs; two such texts have likeness 1. An empty table gives no rows."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     done = durable(ordered.mapInArrow(_in_order, DDL), "op7-fingerprints")
