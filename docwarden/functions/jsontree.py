@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from docwarden import vocab
 from docwarden.functions import jsonwalk
-from docwarden.functions.jsonwalk import decoded, let, quoted
+from docwarden.functions.jsonwalk import Changes, decoded, let, quoted
 from docwarden.functions.secrets import has_credential_value, is_sensitive_key, mask_credentials
 from docwarden.functions.text import squeezed_key
 
@@ -46,9 +46,14 @@ def sanitize_text(text: Column, *, nested: int = NESTED_TEXTS, keep_listings: bo
 
     if not nested:
         return let(text, plain)
-    trimmed = F.trim(text)
-    inner = F.when(trimmed.rlike(r"^[{\[]"), F.substring(_sanitized(trimmed, nested - 1, keep_listings), 1, vocab.TEXT_CAP))
-    return F.coalesce(inner, let(text, plain))
+
+    def read(value: Column) -> Column:
+        trimmed = F.trim(value)
+        as_json = F.substring(_sanitized(trimmed, nested - 1, keep_listings), 1, vocab.TEXT_CAP)
+        inner = F.when(trimmed.startswith("{") | trimmed.startswith("["), as_json)
+        return F.coalesce(inner, plain(value))
+
+    return let(text, read)
 
 
 def _sanitized(json: Column, nested: int, keep_listings: bool) -> Column:
@@ -57,37 +62,44 @@ def _sanitized(json: Column, nested: int, keep_listings: bool) -> Column:
     or masked, or beyond the cap of a list."""
     dropped = vocab.BODY_KEYS if keep_listings else vocab.BODY_KEYS + vocab.LISTING_KEYS
 
-    drop, mask = (", ".join(f"'{k}'" for k in keys) for keys in (dropped, vocab.SECRET_KEYS))
-
-    def shown(kind: Column, token: Column) -> dict[str, Column]:
-        """A key's name, literal and folded form; a value's text."""
-        name = F.when(kind == "k", sanitize_text(decoded(token), nested=0))
-        text = F.when(kind == "s", quoted(sanitize_text(decoded(token), nested=nested, keep_listings=keep_listings))).otherwise(token)
-        return {"k": name, "t": F.when(kind != "k", text)}
-
-    def folded(item: Column) -> Column:
-        fields = [item["c"].alias("c"), item["k"].alias("k"), F.when(item["c"] == "k", quoted(item["k"])).otherwise(item["t"]).alias("t")]
-        return F.struct(*fields, F.when(item["c"] == "k", squeezed_key(item["k"])).alias("r"))
-
-    members = "array<struct<k:string,i:int,q:string,t:string>>"
-    hidden = lambda f: f"({f}.h OR {f}.r = 'drop' OR ({f}.kind = 'a' AND {f}.n >= {vocab.LIST_CAP}))"
-
-    def with_member(f: str, text: str) -> str:
-        item = f"named_struct('k', {f}.k, 'i', {f}.n, 'q', {f}.q, 't', if({f}.r = 'mask', '\"{vocab.MASKED}\"', {text}))"
-        return f"if({hidden(f)}, {f}.m, array_append({f}.m, {item}))"
-
+    def named(key: Column) -> Column:
+        return F.when(key != "", sanitize_text(decoded(key), nested=0))
+
+    def ruled(unit: Column) -> Column:
+        """A key's name ``k``, what becomes of its value ``r``, and the value or bracket ``t``."""
+        fold = lambda key: F.when(key.isin(*dropped), "drop").when(key.isin(*vocab.SECRET_KEYS), "mask").otherwise("")
+        rule = F.when(unit["k"].isNotNull(), let(squeezed_key(unit["k"]), fold)).otherwise("")
+        return F.struct(unit["k"].alias("k"), rule.alias("r"), unit["t"].alias("t"))
+
+    def shown(unit: Column) -> Column:
+        """``q`` is the key as it is written, ``t`` a scalar's text behind it."""
+        written = F.when(unit["k"].isNotNull(), F.concat(quoted(unit["k"]), F.lit(":"))).otherwise("")
+        text = F.when(unit["t"].startswith('"'), quoted(sanitize_text(decoded(unit["t"]), nested=nested, keep_listings=keep_listings))).otherwise(unit["t"])
+        value = F.when(unit["r"] == "mask", f'"{vocab.MASKED}"').otherwise(text)
+        class_ = jsonwalk.kind(unit["t"])
+        scalar = F.when((class_ == "v") & (unit["r"] != "drop"), F.concat(written, value))
+        return F.struct(class_.alias("c"), unit["k"].alias("k"), F.when(class_ != "v", written).alias("q"), unit["r"].alias("r"), scalar.alias("t"))
+
+    keys, tokens = jsonwalk.items(json)
+    units = F.arrays_zip(F.transform(keys, named).alias("k"), tokens.alias("t"))
+    members = "array<struct<k:string,i:int,t:string>>"
+    room = f"if(f.kind = '[', slice(run, 1, greatest({vocab.LIST_CAP} - f.n, 0)), run)"
+    kept = f"transform(filter({room}, m -> m.r <> 'drop'), (m, i) -> named_struct('k', m.k, 'i', size(f.m) + i, 't', m.t))"
+    hidden = f"f.r <> '' OR (f.kind = '[' AND f.n >= {vocab.LIST_CAP})"
     last = "filter(ms, (m, i) -> coalesce(get(ms, i + 1).k <> m.k, true))"
-    listed = f"transform(array(array_sort(f.m)), ms -> array_join(transform({last}, m -> concat(m.q, ':', m.t)), ','))[0]"
-    closed = f"if(f.h, '', if(f.kind = 'o', concat('{{', {listed}, '}}'), concat('[', array_join(transform(f.m, m -> m.t), ','), ']')))"
+    joined = f"array_join(transform({last}, m -> m.t), ',')"
+    listed = f"aggregate(cast(array() AS array<int>), sort_array(f.m), (ms, x) -> ms, ms -> {joined})"
+    closed = f"if(f.kind = '{{', concat('{{', {listed}, '}}'), concat('[', array_join(transform(f.m, m -> m.t), ','), ']'))"
+    member = f"named_struct('k', f.k, 'i', size(g.m), 't', concat(f.q, if(f.r = 'mask', '\"{vocab.MASKED}\"', {closed})))"
     made = jsonwalk.walk(
-        F.transform(jsonwalk.items(json, shown), folded),
-        {"k": ("string", "cast(null AS string)"), "q": ("string", "cast(null AS string)"), "r": ("string", "''"), "h": ("boolean", "false"), "m": (members, "array()")},
+        F.transform(F.transform(units, ruled), shown),
+        {"k": ("string", "''"), "q": ("string", "''"), "r": ("string", "''"), "m": (members, "array()")},
         {},
-        key={"k": "x.k", "q": "x.t", "r": f"CASE WHEN x.r IN ({drop}) THEN 'drop' WHEN x.r IN ({mask}) THEN 'mask' ELSE '' END"},
-        value={"m": with_member("f", "x.t")},
-        open_={"k": "cast(null AS string)", "q": "cast(null AS string)", "r": "''", "h": f"{hidden('f')} OR f.r = 'mask'", "m": f"cast(array() AS {members})"},
-        close={"m": with_member("g", closed)},
-        note={},
+        run={"m": f"if(f.r <> '', f.m, concat(f.m, {kept}))"},
+        open_={"k": "u.k", "q": "u.q", "r": f"if({hidden}, 'drop', u.r)", "m": f"cast(array() AS {members})"},
+        close={"m": f"if(f.r = 'drop', g.m, array_append(g.m, {member}))"},
+        note_run={},
+        note_open={},
     )
     return let(made, lambda m: F.when(m["valid"], F.get(m["root"]["m"], F.lit(0))["t"]))
 
@@ -121,7 +133,7 @@ def json_entries(json: Column) -> Column:
     and true and false are 1 and 0."""
 
     def canonical(token: Column) -> Column:
-        number = token.cast("double")
+        number = token.try_cast("double")
         whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
         spelled = F.when(token.rlike(r"^-?[0-9]+\z"), F.when(token == "-0", "0").otherwise(token)).otherwise(
             F.when(whole, F.floor(number).cast("string")).otherwise(number.cast("string"))
@@ -129,22 +141,33 @@ def json_entries(json: Column) -> Column:
         literal = F.when(token.contains("\\"), quoted(decoded(token))).otherwise(token)
         return F.when(token.startswith('"'), literal).when(token == "true", "1").when(token == "false", "0").when(token == "null", token).otherwise(spelled)
 
-    path = "md5(concat(f.p, if(f.kind = 'o', f.k, cast(f.n AS string))))"
-    inside = f"CASE WHEN f.l <> '' THEN f.l WHEN x.c = '[' THEN {path} ELSE '' END"
-    entry = f"named_struct('list', {inside}, 'entry', concat({path}, x.t))"
+    path = "md5(concat(f.p, if(f.kind = '{{', {0}.k, cast({1} AS string))))".format
+    inside = f"CASE WHEN f.l <> '' THEN f.l WHEN u.c = '[' THEN {path('u', 'f.n')} ELSE '' END"
+    opened = f"array(named_struct('list', {inside}, 'entry', concat({path('u', 'f.n')}, u.c)))"
+    listed = f"transform(run, (v, i) -> named_struct('list', f.l, 'entry', concat({path('v', 'f.n + i')}, v.t)))"
     entries = "array<struct<list:string,entry:string>>"
+
+    def read(unit: Column) -> Column:
+        key = F.when(unit["k"] != "", canonical(unit["k"])).otherwise("")
+        class_ = jsonwalk.kind(unit["t"])
+        return F.struct(class_.alias("c"), key.alias("k"), F.when(class_ == "v", canonical(unit["t"])).alias("t"))
+
+    def gathered(new: str) -> Changes:
+        return {
+            "some": f"if(size(a.some) < {GATHERED}, concat(a.some, {new}), {new})",
+            "more": f"if(size(a.some) < {GATHERED}, a.more, array_append(a.more, a.some))",
+        }
+
+    keys, tokens = jsonwalk.items(json)
     made = jsonwalk.walk(
-        jsonwalk.items(json, lambda kind, token: {"t": F.when(kind.isin("k", "s", "n"), canonical(token)).otherwise(token)}),
-        {"k": ("string", "''"), "p": ("string", "''"), "l": ("string", "''")},
+        F.transform(F.arrays_zip(keys.alias("k"), tokens.alias("t")), read),
+        {"p": ("string", "''"), "l": ("string", "''")},
         {"some": (entries, "array()"), "more": (f"array<{entries}>", "array()")},
-        key={"k": "x.t"},
-        value={},
-        open_={"k": "''", "p": path, "l": inside},
+        run={},
+        open_={"p": path("u", "f.n"), "l": inside},
         close={},
-        note={
-            "some": f"if(size(a.some) < {GATHERED}, array_append(a.some, {entry}), array({entry}))",
-            "more": f"if(size(a.some) < {GATHERED}, a.more, array_append(a.more, a.some))",
-        },
+        note_run=gathered(listed),
+        note_open=gathered(opened),
     )
     return let(made, lambda m: F.struct(m["valid"].alias("valid"), F.flatten(F.array_append(m["more"], m["some"])).alias("entries")))
 

@@ -269,11 +269,14 @@ def has_credential_value(value: Column, family: str = "audit") -> Column:
 
 def mask_credentials(value: Column) -> Column:
     """Replace every concrete credential in a text; documentation placeholders stay."""
+    # Splitting compiles the long pattern for every text, so only texts with placeholders are split.
+    named = F.exists(rewrite.matches(value, CREDENTIAL_VALUE), _is_named_placeholder)
+    some = rewrite.rewrite(
+        value,
+        CREDENTIAL_VALUE,
+        lambda m: F.when(_is_named_placeholder(m), m).otherwise(vocab.MASKED),
+    )
     return F.when(
         value.rlike(CREDENTIAL_TRIGGER) & value.rlike(CREDENTIAL_VALUE),
-        rewrite.rewrite(
-            value,
-            CREDENTIAL_VALUE,
-            lambda m: F.when(_is_named_placeholder(m), m).otherwise(vocab.MASKED),
-        ),
+        F.when(named, some).otherwise(F.regexp_replace(value, CREDENTIAL_VALUE, vocab.MASKED)),
     ).otherwise(value)

@@ -6,7 +6,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from docwarden.functions import jsontree, paths, secrets, text, times
+from docwarden.functions import jsontree, jsonwalk, paths, secrets, text, times
 
 
 def values(spark, rows, expr, schema="v string"):
@@ -105,6 +105,51 @@ def test_sanitize_far_down(spark):
     assert json.loads(got[5]) == json.loads(rows[5])
 
 
+def test_walk_steps_by_runs_of_values(spark):
+    """A step of the machine takes a run of scalars; one a token would be thousands here."""
+    rows = spark.createDataFrame([(json.dumps({"a": list(range(2000)), "b": {str(i): i for i in range(1000)}}),)], "v string")
+    keys, tokens = jsonwalk.items(F.col("v"))
+    units = F.transform(F.arrays_zip(keys.alias("k"), tokens.alias("t")), lambda u: F.struct(jsonwalk.kind(u["t"]).alias("c")))
+    count = {"steps": "a.steps + 1"}
+    made = jsonwalk.walk(units, {}, {"steps": ("int", "0")}, run={}, open_={}, close={}, note_run=count, note_open=count)
+    got = rows.select(made.alias("m")).select("m.valid", "m.steps").first()
+    assert tuple(got) == (True, 5)  # three containers and two runs; ends are not counted
+
+
+def test_walk_refuses_text_behind_a_value(spark):
+    ends = ["x", ",", "}", "]", "{", ":", '"', " 1", "null", '"a": 1', "{}"]
+    rows = [value + end for value in ('{"token":1}', "[1]", '"x"', "null") for end in ends if value + end != "nullnull"]
+    assert values(spark, rows, jsontree.sanitize_json) == rows
+    assert values(spark, [*rows, "nullnull", '"a":1'], lambda v: jsontree.config_contains(v, v)) == [False] * (len(rows) + 2)
+    assert values(spark, ['{"token":1,"b":[1,{"password":"x"}],"a":2}'], jsontree.sanitize_json) == ['{"a":2,"b":[1,{"password":"<redacted>"}],"token":"<redacted>"}']
+
+
+def test_list_cap_and_equal_keys_across_runs(spark):
+    mixed = json.dumps([*range(98), {"a": 1}, [2], {"b": 3}, 4], separators=(",", ":"))
+    kept = json.dumps([*range(98), {"a": 1}, [2]], separators=(",", ":"))
+    masked = '{"password: a1":1,"z":[2],"password: b2":{"x":3},"password: c3":4,"body":[5],"y":6}'
+    got = values(spark, [mixed, masked], jsontree.sanitize_json)
+    assert got == [kept, '{"<redacted>":4,"y":6,"z":[2]}']
+
+
+def test_masking_with_and_without_placeholders(spark):
+    rows = ["password: a1 and secret=b2", "password: <TOKEN> and secret=b2", "password: <TOKEN>", "plain", ""]
+    got = values(spark, rows, secrets.mask_credentials)
+    assert got == ["<redacted> and <redacted>", "password: <TOKEN> and <redacted>", "password: <TOKEN>", "plain", ""]
+
+
+def test_sanitised_events_are_spread_over_cores(spark, tmp_path):
+    """One file with one row group is worked on by every core, rows whole."""
+    from workloads import relation_queries
+
+    events = spark.range(5000).selectExpr("if(id % 7 = 0, null, id) event_id", "id % 50 user_id", "if(id % 3 = 0, 'view', null) event_type")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    rows = relation_queries.metadata_sanitized(spark, str(tmp_path))
+    parts = rows.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in parts) == 5000
+    assert len(parts) >= spark.sparkContext.defaultParallelism
+
+
 def test_secret_scan(spark):
     deep, clean = {"password": 1}, {"note": 1}
     for _ in range(30):
