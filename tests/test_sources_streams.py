@@ -253,6 +253,43 @@ def test_every_row_is_a_file_of_its_own(spark, tmp_path):
     assert C.scan_corpus(spark, str(tmp_path / "none"), glob="*.txt").count() == 0
 
 
+def test_local_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    root = tmp_path / "it's 100%20 docs"
+    names = ["a.txt", "s/b.txt", "s/_h.txt", "s/_h=1.txt", "s/.x.txt", "_hid/c.txt", "_metadata/d.txt", "_k=1/e.txt", "s/_metadata.txt",
+             "s/y._COPYING_", "s/z.md", "sp ace/\u00e9.txt", "/".join(f"d{i}" for i in range(40)) + "/x.txt", *(f"many/{i}/n.txt" for i in range(120))]
+    for name in (*names, "s/empty.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("" if "empty" in name else f"text of {name}")
+    (root / "link").symlink_to(root / "s")
+    (root / "dead.txt").symlink_to(root / "nowhere")
+    monkeypatch.setattr(C, "LISTED_ENTRIES", 50)
+    monkeypatch.setattr(C, "READ_BYTES", 100)
+    for glob in (None, "*.txt", "[!a].{txt,md}"):
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        plain = (reader.option("pathGlobFilter", glob) if glob else reader).load(str(root))
+        want = {(r.path.split("%20 docs/", 1)[1], bytes(r.content), r.length) for r in plain.select("path", "content", "length").collect()}
+        scanned = C.scan_corpus(spark, str(root), glob=glob)
+        got = scanned.collect()
+        assert {(r.relative_path, bytes(r.content), r["size"]) for r in got} == want and len(got) == len(want) > 2
+        assert all(r.source_sha256 == hashlib.sha256(r.content).hexdigest() for r in got)
+    # The driver holds the files of the listing, not of the tree.
+    assert not any("docs/" in f for f in scanned.inputFiles())
+    listed = spark.createDataFrame([("a.txt",), ("gone.txt",)], "relative_path string")
+    chosen = C.scan_corpus(spark, str(root), candidates=listed)
+    (root / "s/b.txt").unlink()  # not chosen, so not read
+    assert {(r.relative_path, r["size"], r.missing) for r in chosen.collect()} == {("a.txt", 13, False), ("gone.txt", None, True)}
+
+
+def test_local_files_are_held_against_their_checksums(spark, tmp_path):
+    root = tmp_path / "lines"
+    spark.createDataFrame([("x" * 2000,)], "text string").coalesce(1).write.text(str(root))
+    assert [r["size"] for r in C.scan_corpus(spark, str(root)).select("size").collect()] == [2001]
+    part = next(root.glob("part-*.txt"))
+    part.write_text("x" * 1500 + "y" * 500 + "\n")
+    with pytest.raises(Exception, match="[Cc]hecksum error"):
+        C.scan_corpus(spark, str(root)).select("source_sha256").collect()
+
+
 def test_graph_lines_are_written_compressed(spark, sf_dir):
     read = source_queries.graph_read(spark, sf_dir)
     held = [f for f in read.inputFiles() if "/edges/" in f]
