@@ -1,11 +1,14 @@
 """Graph capsules: subjects, ids, stability, hot groups."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from docwarden.operators import graph as G
 from docwarden.operators.skew import large_groups, lookup_join, rank_within
 from docwarden.plans.capsules import graph_capsules
+from docwarden.session import materialize
 
 NODES = [("route:home", "route", "Home", "/home"), ("entity:user", "entity", "User", "src/user.py"),
          ("wiki:guide", "wiki", "Guide", "docs/guide.md"), ("svc", "service", "Svc", "src/svc.py"),
@@ -91,6 +94,44 @@ def test_groups_are_shuffled_once_and_hubs_in_slabs(spark):
     assert again._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
+def test_ends_that_are_the_subject_are_moved_once(spark):
+    ends = [("a", "b", "a"), ("a", "b", "b"), ("a", "a", "a"), ("a", "b", "other"), (None, "b", None), (None, "b", "b"), ("a", None, None), ("a", "b", None)]
+    rows = [(s, t, f"type{i % 3}", f"e{i}", "low", subject) for i in range(40) for s, t, subject in ends]
+    df = spark.createDataFrame(rows, "source string, target string, type string, evidence string, confidence string, subject string").repartition(5)
+    plain = rank_within(df, "subject", G.EDGE_ORDER, rank="position", total="subject_edges")
+    for got in (G.number_edges(df), rank_within(df, "subject", G.EDGE_ORDER, rank="position", total="subject_edges", repeats=("source", "target"), hub_rows=100)):
+        assert got.columns == plain.columns and got.count() == 320
+        assert got.exceptAll(plain).count() == plain.exceptAll(got).count() == 0
+    ranked = G.number_edges(df)
+    held = spark.read.parquet(*ranked.inputFiles()).filter("subject IN ('a', 'b')")
+    assert held.filter("source <=> subject OR target <=> subject").count() == 0
+    again = ranked.groupBy("subject", (F.col("position") % 12).alias("part")).agg(F.collect_list("source"))
+    assert again._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_written_results_leave_no_shuffle_files(spark):
+    blocks = lambda: {str(x) for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if str(x).startswith("shuffle_")}
+    counted = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    held = blocks()
+    assert materialize(counted, "counted").agg(F.sum("count")).first()[0] == 1000
+    for _ in range(50):  # the executors are told, not waited for
+        left = blocks() - held
+        if len({x.split("_")[1] for x in left}) <= 1:
+            break
+        time.sleep(0.1)
+    assert len({x.split("_")[1] for x in left}) <= 1  # at most the sum's own
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_checks_and_capsules_read_written_nodes_and_edges(spark):
+    built = graph_capsules(*frames(spark), POLICY, audit_status="passed")
+    for result in (built.violations, built.capsules):
+        plan = result._jdf.queryExecution().optimizedPlan().toString()
+        assert "LocalRelation [id" not in plan and "LogicalRDD" not in plan
+    assert {f.rsplit("/", 2)[1].split("-")[0] for f in built.violations.inputFiles()} == {"nodes", "edges", "rows"}
+
+
 def test_lookups_hash_the_small_side(spark):
     held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
